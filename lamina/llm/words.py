@@ -127,21 +127,24 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         at = to
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of documents that lie one after another in data."""
-    solid = _SOLID[data]
-    begins, stops = solid.copy(), solid.copy()
+def runs_of(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> Words:
+    """Maximal runs of bytes of one kind other than 0, cut at the ends of documents."""
+    begins, stops = kind != 0, kind != 0
     if len(data):
-        begins[1:] &= ~solid[:-1]
-        stops[:-1] &= ~solid[1:]
-        edge = offsets[:-1][offsets[:-1] < offsets[1:]]
-        begins[edge] = solid[edge]
-        edge = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-        stops[edge] = solid[edge]
+        change = kind[1:] != kind[:-1]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begins[1:] &= change | edge[1:-1]
+        stops[:-1] &= change | edge[1:-1]
     start = np.flatnonzero(begins)
     return Words(data, start, np.flatnonzero(stops) + 1, np.searchsorted(start, offsets), offsets)
 
 
+def cut(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of documents that lie one after another in data."""
+    return runs_of(data, _SOLID[data].view(np.uint8), offsets)
+
+
 def tables(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) for ranges of rows of a text column."""
     data, offsets = text_buffers(column)
