@@ -44,7 +44,7 @@ from lamina.llm.words import grams, mix, tables, inside
 WINDOW = 20
 GRAM = 8
 #: Windows of a reference block.
-BLOCK = 1_500_000
+BLOCK = 500_000
 NO_ID = -(2**63)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     width, where = len(names), names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             got = [clean(t, s, window) for t, s in zip(b.column(where).cast(pa.binary()).to_pylist(), b.column(width).to_pylist())]
             n, gone, kept = zip(*got) if got else ((), (), ())
             arrays = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]

@@ -17,7 +17,7 @@ import pyarrow as pa
 BLANKS = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step holds in arrays; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _SOLID = np.ones(256, bool)
 _SOLID[list(BLANKS)] = False
