@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import checkpoint, table
-from lamina.llm.tokens import load, tokenizer_path
+from lamina.llm.tokens import Kept, Merges, load, tokenizer_path
 
 LENGTH = 2048
 SHARD = 4096
@@ -44,20 +44,17 @@ GENERATIONS = 6
 CACHED = 300_000
 
 
-class Ids(dict):
+class Ids(Kept):
     """Little-endian 32-bit ids by word."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
+        super().__init__(cached)
         self.library = load(path)
+        self.merges = Merges(self.library, fold=True)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) > 64:
-            return ids
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = ids
-        return ids
+    def make(self, word: bytes) -> bytes:
+        ids = self.merges.ids(word)
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids if ids is None else ids, "<u4").tobytes()
 
     def document(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split())) + b"\0\0\0\0"
