@@ -4,7 +4,7 @@ The network reads a segment's bytes in both directions (two GRUs, Cho and
 others, 2014), labels every byte position, and a document's probabilities are
 its positions' log-probabilities averaged over the whole text.  A segment is
 a word with a blank on either side, its state starting anew; longer words are
-cut at ``SEGMENT`` bytes.  So the labels of a segment's positions do not
+cut at ``SEGMENT`` bytes, and digits and marks are read as blanks.  So the labels of a segment's positions do not
 depend on its neighbours, a segment that occurs again is not computed again
 (each worker keeps up to ``CACHED`` segments' sums), and a text of any length
 needs bounded memory.
@@ -39,9 +39,10 @@ HIDDEN = 12
 STEPS = 240
 BATCH = 768
 RATE = 0.02
-CACHED = 250_000
+CACHED = 600_000
 UNKNOWN = "und"
-_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A-Z folded; ASCII digits, marks and controls are read as blanks.
+_FOLD = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b > 127 else 32 for b in range(256))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
