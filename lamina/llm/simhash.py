@@ -155,16 +155,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component; all columns stay.
 
-    Of rows that repeat one id, one stays (any: they are the same document, or the
-    smallest text where they differ).  Rows without an id can't be named, so they stay.
+    Rows that repeat an id are one document, which goes if any of them links to
+    a smaller id; else one row of it stays, the smallest.  Rows without an id
+    can't be named, so they stay.  The text is shuffled once, for the anti-join
+    (not at all where Spark finds the list of losers small enough to send).
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("__keep"), "left_semi")
-    repeated = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__more"))
-    single = named.join(repeated, F.col("doc_id") == F.col("__more"), "left_anti")
+    found = checkpoint(near_duplicates(docs))
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(losers, F.col("doc_id") == F.col("__gone"), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__more"))
+    if repeated.isEmpty():
+        return kept
+    same = F.col("doc_id") == F.col("__more")
     others = [c for c in docs.columns if c != "doc_id"]
-    several = named.join(repeated, F.col("doc_id") == F.col("__more"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
-    return single.unionByName(several.select("doc_id", "__row.*")).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    several = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
+    return kept.join(repeated, same, "left_anti").unionByName(several.select("doc_id", "__row.*")).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
