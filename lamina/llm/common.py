@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+#: Rows of an Arrow batch for tables with texts; a batch is held in memory on both sides of the pipe.
+BATCH_ROWS = 1000
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """A worker's one large object: what make() gave for this key; that of another key is let go.
+
+    Spark reuses Python workers for later stages, so caches of one operator
+    would otherwise sit beside those of the next.
+    """
+    if key not in _held:
+        _held.clear()
+        trim()
+        _held[key] = make()
+    return _held[key]  # type: ignore[return-value]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session's Arrow batches are made small, unless it has set a size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

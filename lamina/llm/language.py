@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, table, training_row
+from lamina.llm.common import held, held_out, table, training_row
 
 SAMPLE = 2_000
 #: Training segments drawn from the sample's words.
@@ -211,18 +211,15 @@ class Reader:
         return out
 
 
-_readers: dict[bytes, Reader] = {}
-
-
 def _reader(packed: tuple) -> Reader:
     labels, hidden, arrays = packed
-    key = b"".join(x.tobytes() for x in arrays.values())
-    if key not in _readers:
-        _readers.clear()
+
+    def make() -> Reader:
         net = Network(list(labels), hidden)
         net.p = arrays
-        _readers[key] = Reader(net)
-    return _readers[key]
+        return Reader(net)
+
+    return held(("reader", hash(b"".join(x.tobytes() for x in arrays.values()))), make)
 
 
 def sample(docs: DataFrame, bound: int) -> pa.Table:

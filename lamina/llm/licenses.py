@@ -76,10 +76,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     wanted = pivots(templates, threshold)
 
     def promising(column: str) -> F.Column:
-        found = F.lit(False)
-        for w in wanted:
-            found = found | F.contains(F.lower(F.col(column)), F.lit(w))
-        return found
+        # A lambda's variable is worked out once; an alias would be lower() again for each pivot.
+        def any_of(t: F.Column) -> F.Column:
+            found = F.contains(t, F.lit(wanted[0]))
+            for w in wanted[1:]:
+                found = found | F.contains(t, F.lit(w))
+            return found
+
+        return F.exists(F.array(F.lower(F.col(column))), any_of)
 
     lines = docs.where(promising(text)).select(
         F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")

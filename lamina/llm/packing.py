@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import checkpoint, table
+from lamina.llm.common import checkpoint, held, table
 from lamina.llm.tokens import Kept, Merges, load, tokenizer_path
 
 LENGTH = 2048
@@ -41,7 +41,7 @@ SHARD = 4096
 ISLANDS = 2
 POPULATION = 4
 GENERATIONS = 6
-CACHED = 300_000
+CACHED = 250_000
 
 
 class Ids(Kept):
@@ -60,20 +60,11 @@ class Ids(Kept):
         return b"".join(map(self.__getitem__, (text or b"").split())) + b"\0\0\0\0"
 
 
-_caches: dict[str, Ids] = {}
-
-
-def _ids(path: str) -> Ids:
-    if path not in _caches:
-        _caches[path] = Ids(path)
-    return _caches[path]
-
-
 def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, size = _ids(path), 4 * length
+        ids, size = held(("ids", path), lambda: Ids(path)), 4 * length
         for b in batches:
             row, piece, start, count, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1).cast(pa.binary()).to_pylist()):

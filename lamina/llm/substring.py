@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import partitions, table
+from lamina.llm.common import held, partitions, table, trim
 from lamina.llm.words import grams, mix, tables, inside
 
 WINDOW = 20
 GRAM = 8
 #: Windows of a reference block.
-BLOCK = 500_000
+BLOCK = 400_000
 NO_ID = -(2**63)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -203,6 +203,7 @@ def factors(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wind
     buckets = 8 * partitions(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("no cache", object)
         block, out = _Block(buckets, window), []
 
         def sent(rows):
@@ -218,6 +219,7 @@ def factors(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wind
         out += block.flush()
         for at in range(0, len(out), 512):
             yield sent(out[at : at + 512])
+        trim()
 
     def parse(batch: pa.Table) -> pa.Table:
         got = list(_parse(batch.column("payload").to_pylist()))

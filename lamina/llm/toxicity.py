@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held_out, table, training_row
+from lamina.llm.common import held, held_out, table, training_row
 
 SAMPLE = 8_000
 STEMS = 160
 EVIDENCE = 24.0
 REJECT = 0.7
-CACHED = 300_000
+CACHED = 200_000
 OTHER, END, TARGET, NEGATOR, REPORT, QUOTE, SELF, INTENT, THREAT, STEM = range(10)
 SEED = "idiot moron stupid worthless scum loser pathetic disgusting imbecile".split()
 SEED_WEIGHT = 6.0
@@ -285,17 +285,6 @@ def train(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float],
     return stems, whole, fit(_explain([g.measure(t.encode()) for t in given]), bad.astype(float))
 
 
-_grammars: dict[str, Grammar] = {}
-
-
-def _grammar(stems: dict[str, float], whole: dict[str, float]) -> Grammar:
-    key = repr((stems, whole))
-    if key not in _grammars:
-        _grammars.clear()
-        _grammars[key] = Grammar(stems, whole)
-    return _grammars[key]
-
-
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All columns of docs, with held_out, score and predicted."""
     rows = sample(docs, labels, SAMPLE)
@@ -306,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems, whole, w = model.value
-        g = _grammar(stems, whole)
+        g = held(("grammar", repr((stems, whole))), lambda: Grammar(stems, whole))
         for b in batches:
             x = _explain([g.measure(t) for t in b.column(where).cast(pa.binary()).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
