@@ -10,7 +10,7 @@ Most lines never get that far.  A match shares at least t / 2 of the two
 sizes' sum, hence a fixed least number of the template's own bigrams; so for
 each template a few *pivot* words are worked out, without which no line can
 reach that number, and a text or line that holds no pivot anywhere is dropped
-by plain substring search before it is split into words.  That loses nothing.
+by one regular expression before it is split into words.  That loses nothing.
 Long words and numbers make good pivots: prose seldom holds them by accident.
 
 Everything is SQL functions; a text is read once and nothing is shuffled.
@@ -75,22 +75,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     grams = {k: bigrams(v) for k, v in templates.items()}
     wanted = pivots(templates, threshold)
 
-    def promising(column: str) -> F.Column:
-        # A lambda's variable is worked out once; an alias would be lower() again for each pivot.
-        def any_of(t: F.Column) -> F.Column:
-            found = F.contains(t, F.lit(wanted[0]))
-            for w in wanted[1:]:
-                found = found | F.contains(t, F.lit(w))
-            return found
-
-        return F.exists(F.array(F.lower(F.col(column))), any_of)
-
-    lines = docs.where(promising(text)).select(
+    pattern = "(?i)" + "|".join(wanted)
+    lines = docs.where(F.col(text).rlike(pattern)).select(
         F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
     )
     folded = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.split(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), " ")
-    lines = lines.where(promising("line")).select("doc_id", "line_no", words.alias("w"))
+    lines = lines.where(F.col("line").rlike(pattern)).select("doc_id", "line_no", words.alias("w"))
     pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.element_at("w", i + 2)))
     lines = lines.select("doc_id", "line_no", F.array_distinct(pairs).alias("b"))
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, b)).alias("t")) for k, b in sorted(grams.items())])
