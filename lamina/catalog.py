@@ -1,10 +1,177 @@
-"""Named queries over the driver's tables, each with SQL that gives the same rows."""
+"""Named queries over the driver's tables, each with SQL that gives the same rows where SQL can.
+
+All run on the canonical volume (``plans.volume``) and derive their regions
+from its foreground after opening and closing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.operators import intensity as I
+from lamina.operators import labeling as L
+from lamina.operators import measure as M
+from lamina.operators import morphology as P
+from lamina.operators import sequence as S
+from lamina.plans.volume import DEPTH, HEIGHT, ORACLE_CTE, WIDTH, canonical, foreground
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SIZE = (HEIGHT, WIDTH)
+FG = "fg AS (SELECT volume_id, z, y, x FROM vox WHERE v > 100)"
+IN = "y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31"
+
+
+def _cross(source: str) -> str:
+    steps = "(VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) s(a, b)"
+    return f"SELECT volume_id, z, y + a AS y, x + b AS x FROM {source}, {steps}"
+
+
+def _dilated(name: str, source: str) -> str:
+    return f"{name} AS (SELECT DISTINCT volume_id, z, y, x FROM ({_cross(source)}) WHERE {IN})"
+
+
+def _eroded(name: str, source: str) -> str:
+    need = "5 - (y = 0)::INT - (y = 31)::INT - (x = 0)::INT - (x = 31)::INT"
+    return f"{name} AS (SELECT volume_id, z, y, x FROM ({_cross(source)}) WHERE {IN} GROUP BY ALL HAVING count(*) = {need})"
+
+
+def _labels(name: str, source: str, join: str) -> str:
+    """Recursive labelling: each pixel's least reachable raster key, then ranks of those keys."""
+    return f"""{name}_r AS (
+  SELECT volume_id, z, y, x, y * 32 + x AS k FROM {source}
+  UNION SELECT b.volume_id, b.z, b.y, b.x, a.k FROM {name}_r a JOIN {source} b ON a.volume_id = b.volume_id AND a.z = b.z AND {join}
+), {name} AS (
+  SELECT volume_id, z, y, x, (DENSE_RANK() OVER (PARTITION BY volume_id, z ORDER BY k))::INT AS label
+  FROM (SELECT volume_id, z, y, x, min(k) AS k FROM {name}_r GROUP BY ALL)
+)"""
+
+
+EIGHT = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
+FOUR = "abs(a.y - b.y) + abs(a.x - b.x) = 1"
+SMOOTH = ", ".join([FG, _eroded("er", "fg"), _dilated("op", "er"), _dilated("di", "op"), _eroded("cl", "di")])
+LABELLED = f"{SMOOTH}, {_labels('lab', 'cl', EIGHT)}"
+AREA = f"{LABELLED}, area AS (SELECT volume_id, z, label, count(*) AS area FROM lab GROUP BY ALL)"
+MEASURED = AREA + """, reg AS (
+  SELECT volume_id, z, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, avg(v) AS mean_intensity, min(v) AS min_intensity, max(v) AS max_intensity,
+    stddev_pop(v) AS std_intensity, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, var_pop(y) AS myy, var_pop(x) AS mxx, covar_pop(y, x) AS myx
+  FROM lab JOIN vox USING (volume_id, z, y, x) GROUP BY ALL
+)"""
+
+
+def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.closing(P.opening(foreground(canonical(spark, sf_dir)), *SIZE), *SIZE)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.label_slices(smooth(spark, sf_dir))
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).groupBy("volume_id", "z", "label").agg(F.count("*").alias("area"))
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.regions(labelled(spark, sf_dir), canonical(spark, sf_dir))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, build: Query, sql: str | None, ctes: str = "") -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(spark, sf_dir))
+    if sql:
+        ORACLES[name] = f"WITH RECURSIVE {ORACLE_CTE}{', ' + ctes if ctes else ''} {sql}"
+
+
+def voxel_query(name: str, op: Callable[[DataFrame], DataFrame], sql: str, ctes: str = "") -> None:
+    query(name, lambda spark, sf_dir: op(canonical(spark, sf_dir)), sql, ctes)
+
+
+def mask_query(name: str, op: Callable[[DataFrame], DataFrame], sql: str, ctes: str) -> None:
+    query(name, lambda spark, sf_dir: op(foreground(canonical(spark, sf_dir))), sql, ctes)
+
+
+voxel_query("volume_info", I.volume_info, """SELECT volume_id, (max(z) + 1)::BIGINT AS depth, (max(y) + 1)::BIGINT AS height, (max(x) + 1)::BIGINT AS width,
+  min(v) AS min_v, max(v) AS max_v, round(avg(v), 6) AS mean_v, round(stddev_pop(v), 6) AS std_v FROM vox GROUP BY volume_id""")
+voxel_query("normalize_minmax", lambda d: I.normalize(d, "minmax"), "SELECT volume_id, z, y, x, round((v - min(v) OVER w)::DOUBLE / (max(v) OVER w - min(v) OVER w), 6) AS v FROM vox WINDOW w AS (PARTITION BY volume_id)")
+voxel_query("normalize_zscore", lambda d: I.normalize(d, "zscore"), "SELECT volume_id, z, y, x, round((v - m) / s, 6) AS v FROM vox, (SELECT avg(v) AS m, stddev_pop(v) AS s FROM vox)")
+HIST = """span AS (SELECT volume_id, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM vox GROUP BY 1),
+hist AS (SELECT s.volume_id, b.i::INT AS bin, lo + (b.i + 0.5::DOUBLE) * ((hi - lo) / 256) AS centre, count(v.v) AS cnt, any_value(lo) AS lo, any_value(hi) AS hi
+  FROM span s CROSS JOIN range(256) b(i) LEFT JOIN vox v ON v.volume_id = s.volume_id AND least(floor((v.v - lo) / (hi - lo) * 256), 255) = b.i GROUP BY s.volume_id, b.i, lo, hi)"""
+voxel_query("histogram", lambda d: I.histogram(d, 256), "SELECT volume_id, bin, round(centre, 6) AS centre, cnt FROM hist", HIST)
+voxel_query("histogram_equalize", I.equalize, """SELECT v.volume_id, z, y, x, round(CASE WHEN nx IS NULL THEN c ELSE c + (c1 - c) * greatest(0, least(1, (v - centre) / (nx - centre))) END, 6) AS v
+  FROM vox v JOIN cdf ON bin = greatest(0, least(floor((v - lo) / ((hi - lo) / 256) - 0.5::DOUBLE), 255))""",
+  HIST + ", cdf0 AS (SELECT *, sum(cnt) OVER (ORDER BY bin)::DOUBLE / sum(cnt) OVER () AS c FROM hist), cdf AS (SELECT *, lead(c) OVER (ORDER BY bin) AS c1, lead(centre) OVER (ORDER BY bin) AS nx FROM cdf0)")
+voxel_query("background_subtract", I.background_subtract, "SELECT volume_id, z, y, x, v - min(v) OVER (PARTITION BY volume_id) AS v FROM vox")
+voxel_query("gamma", lambda d: I.adjust_gamma(d, 0.5), "SELECT volume_id, z, y, x, round(pow(v / 255::DOUBLE, 0.5::DOUBLE) * 255, 6) AS v FROM vox")
+voxel_query("band_predicate", lambda d: I.band(d, 20, 150), "SELECT * FROM vox WHERE v > 0 AND (v <= 20 OR v >= 150)")
+voxel_query("clamp", lambda d: I.clamp(d, 200.0), "SELECT volume_id, z, y, x, CASE WHEN v > 60 THEN v ELSE 0 END AS v FROM vox")
+voxel_query("slice_range", lambda d: I.slice_range(d, 1, 4, DEPTH), "SELECT * FROM vox WHERE z >= 1 AND z < 4")
+voxel_query("manual_threshold", foreground, "SELECT * FROM fg", FG)
+OTSU = """lv AS (SELECT volume_id, z, v::BIGINT AS v, count(*) AS c FROM vox GROUP BY ALL),
+ps AS (SELECT volume_id, z, v, sum(c) OVER w AS n0, sum(c * v) OVER w AS s0, sum(c) OVER p AS n, sum(c * v) OVER p AS s FROM lv WINDOW w AS (PARTITION BY volume_id, z ORDER BY v), p AS (PARTITION BY volume_id, z))"""
+voxel_query("otsu_per_slice", I.otsu, """SELECT volume_id, z, arg_max(v, (round(COALESCE(n0::DOUBLE * (n - n0)::DOUBLE * (s0 / n0::DOUBLE - (s - s0) / NULLIF(n - n0, 0)::DOUBLE) * (s0 / n0::DOUBLE - (s - s0) / NULLIF(n - n0, 0)::DOUBLE), 0), 3), -v)) AS threshold FROM ps GROUP BY volume_id, z""", OTSU)
+MULTI = """lv AS (SELECT volume_id, v::BIGINT AS v, count(*) AS c FROM vox GROUP BY ALL),
+ps AS (SELECT volume_id, v, (sum(c) OVER w)::DOUBLE AS n0, (sum(c * v) OVER w)::DOUBLE AS s0, (sum(c) OVER p)::DOUBLE AS n, (sum(c * v) OVER p)::DOUBLE AS s FROM lv WINDOW w AS (PARTITION BY volume_id ORDER BY v), p AS (PARTITION BY volume_id)),
+sc AS (SELECT a.volume_id, a.v AS t1, b.v AS t2, round(a.s0 * a.s0 / a.n0 + (b.s0 - a.s0) * (b.s0 - a.s0) / (b.n0 - a.n0) + (a.s - b.s0) * (a.s - b.s0) / (a.n - b.n0), 3) AS sc
+  FROM ps a JOIN ps b ON a.volume_id = b.volume_id AND a.v < b.v AND b.n0 < a.n)"""
+voxel_query("multi_otsu", I.multi_otsu, "SELECT volume_id, t1, t2 FROM sc QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY sc DESC, t1, t2) = 1", MULTI)
+voxel_query("valley_inputs", I.valley_inputs, "SELECT volume_id, round(quantile_cont(v::DOUBLE, 0.01), 6) AS p1, round(quantile_cont(v::DOUBLE, 0.99), 6) AS p99 FROM vox WHERE v > 0 GROUP BY 1")
+mask_query("dilate", lambda m: P.dilate(m, *SIZE), "SELECT * FROM di", f"{FG}, {_dilated('di', 'fg')}")
+mask_query("erode", lambda m: P.erode(m, *SIZE), "SELECT * FROM er", f"{FG}, {_eroded('er', 'fg')}")
+query("open_close", smooth, "SELECT * FROM cl", SMOOTH)
+query("label_2d_8", labelled, "SELECT * FROM lab", LABELLED)
+mask_query("label_2d_4", lambda m: L.label_slices(m, 1), "SELECT * FROM lab", f"{FG}, {_labels('lab', 'fg', FOUR)}")
+mask_query("label_3d_6", lambda m: L.label_volume(m, slab=3), "SELECT volume_id, z, y, x, min(k) AS label FROM r GROUP BY ALL", FG + """, r AS (
+  SELECT volume_id, z, y, x, z::BIGINT * 1099511627776 + y::BIGINT * 1048576 + x AS k FROM fg
+  UNION SELECT b.volume_id, b.z, b.y, b.x, a.k FROM r a JOIN fg b ON abs(a.y - b.y) + abs(a.x - b.x) + abs(a.z - b.z) = 1)""")
+query("remove_small", lambda s, d: P.remove_small(labelled(s, d), 100), "SELECT lab.* FROM lab JOIN area USING (volume_id, z, label) WHERE area >= 100", AREA)
+query("fill_holes", lambda s, d: L.fill_holes(I.slice_range(canonical(s, d), 0, DEPTH, DEPTH).where("v BETWEEN 1 AND 38").select("volume_id", "z", "y", "x"), *SIZE), """
+  SELECT volume_id, z, y, x FROM vox WHERE (z, y, x) NOT IN (SELECT (z, y, x) FROM r)""", """bg AS (SELECT * FROM vox WHERE NOT v BETWEEN 1 AND 38), r AS (
+  SELECT z, y, x FROM bg WHERE y IN (0, 31) OR x IN (0, 31) UNION SELECT b.z, b.y, b.x FROM r a JOIN bg b ON a.z = b.z AND abs(a.y - b.y) + abs(a.x - b.x) = 1)""")
+query("region_measure", measured, """SELECT volume_id, z, label, area, round(cy, 6) AS cy, round(cx, 6) AS cx, round(mean_intensity, 6) AS mean_intensity, min_intensity, max_intensity,
+  round(std_intensity, 6) AS std_intensity, y0, x0, y1, x1, round(4 * sqrt(l1), 6) AS major_axis, round(4 * sqrt(l2), 6) AS minor_axis, round(sqrt(greatest(0, 1 - l2 / l1)), 6) AS eccentricity
+  FROM (SELECT *, (myy + mxx) / 2 + sqrt((myy - mxx) * (myy - mxx) / 4 + myx * myx) AS l1, greatest((myy + mxx) / 2 - sqrt((myy - mxx) * (myy - mxx) / 4 + myx * myx), 0) AS l2 FROM reg)""", MEASURED)
+query("segmentation_stats", lambda s, d: M.segmentation_stats(labelled(s, d), canonical(s, d).select("volume_id", "z").distinct()), """SELECT 'canonical' AS volume_id, i::INT AS z, count(area) AS num_regions, COALESCE(sum(area), 0)::BIGINT AS total_area,
+  round(COALESCE(avg(area), 0), 6) AS mean_area, COALESCE(max(area), 0) AS max_area, COALESCE(min(area), 0) AS min_area, round(COALESCE(stddev_pop(area), 0), 6) AS std_area FROM range(7) t(i) LEFT JOIN area ON z = i GROUP BY i""", AREA)
+query("area_filter", lambda s, d: M.filter_by_area(labelled(s, d), 50, 100), "SELECT lab.* FROM lab JOIN area USING (volume_id, z, label) WHERE area BETWEEN 50 AND 100", AREA)
+query("largest_region", lambda s, d: M.largest_region(areas(s, d)), "SELECT volume_id, z, label, area FROM area QUALIFY row_number() OVER (PARTITION BY volume_id, z ORDER BY area DESC, label) = 1", AREA)
+query("region_intensity", lambda s, d: M.region_intensity(labelled(s, d), canonical(s, d), 2), "SELECT volume_id, z, round(COALESCE(avg(v) FILTER (label = 2), 0), 6) AS intensity FROM vox LEFT JOIN lab USING (volume_id, z, y, x) GROUP BY ALL", LABELLED)
+query("top_regions", lambda s, d: M.top_regions(areas(s, d)), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY volume_id, z ORDER BY area DESC, label)::INT AS rank FROM area) WHERE rank <= 5", AREA)
+query("region_compare", lambda s, d: M.compare_top_two(measured(s, d)), """SELECT a.volume_id, a.z, a.label AS label_1, b.label AS label_2, a.area AS area_1, b.area AS area_2, round(a.mean_intensity, 6) AS mean_intensity_1, round(b.mean_intensity, 6) AS mean_intensity_2,
+  a.area - b.area AS area_difference, round(a.area / b.area::DOUBLE, 6) AS area_ratio, round(a.mean_intensity - b.mean_intensity, 6) AS intensity_difference, round(a.mean_intensity / b.mean_intensity, 6) AS intensity_ratio
+  FROM rk a JOIN rk b ON a.volume_id = b.volume_id AND a.z = b.z AND a.rn = 1 AND b.rn = 2""", MEASURED + ", rk AS (SELECT *, row_number() OVER (PARTITION BY volume_id, z ORDER BY area DESC, label) AS rn FROM reg)")
+query("cross_slice_stats", lambda s, d: M.cross_slice_stats(measured(s, d), DEPTH), """SELECT volume_id, count(*) AS total_regions, round(count(*) / 7::DOUBLE, 6) AS regions_per_slice, round(avg(area), 6) AS mean_area, round(stddev_pop(area), 6) AS std_area,
+  min(area) AS min_area, max(area) AS max_area, round(avg(mean_intensity), 6) AS mean_of_means, round(stddev_pop(mean_intensity), 6) AS std_of_means FROM reg GROUP BY volume_id""", MEASURED)
+query("mask_keep", lambda s, d: M.keep_mask(canonical(s, d), foreground(canonical(s, d))), "SELECT * FROM vox WHERE v > 100")
+query("mask_remove", lambda s, d: M.remove_mask(canonical(s, d), foreground(canonical(s, d))), "SELECT * FROM vox WHERE NOT v > 100")
+query("keep_half_max", lambda s, d: M.keep_half_max(areas(s, d)), "SELECT * FROM area WHERE area >= 0.5 * (SELECT max(area) FROM area)", AREA)
+BOX = "box AS (SELECT volume_id, min(z) AS zmin, max(z) + 1 AS zmax, min(y) AS ymin, max(y) + 1 AS ymax, min(x) AS xmin, max(x) + 1 AS xmax FROM fg GROUP BY 1)"
+mask_query("bounding_box", M.bounding_box, "SELECT * FROM box", f"{FG}, {BOX}")
+query("crop", lambda s, d: M.crop(canonical(s, d), M.bounding_box(foreground(canonical(s, d)))), "SELECT v.volume_id, z - zmin AS z, y - ymin AS y, x - xmin AS x, v FROM vox v JOIN box ON z >= zmin AND z < zmax AND y >= ymin AND y < ymax AND x >= xmin AND x < xmax", f"{FG}, {BOX}")
+query("end_trim", lambda s, d: S.end_trim(areas(s, d), 80), "SELECT volume_id, min(z) FILTER (label = 1 AND area >= 80) AS z_first, max(z) FILTER (label = 1 AND area >= 80) AS z_last FROM area GROUP BY 1", AREA)
+query("ring_slice", lambda s, d: S.ring_slice(areas(s, d), 1.01), "SELECT volume_id, max(z) + 1 AS z_ring FROM (SELECT *, lag(area) OVER (PARTITION BY volume_id ORDER BY z DESC) AS b FROM area WHERE label = 1) WHERE area < 1.01 * b GROUP BY 1", AREA)
+query("track_region", lambda s, d: S.track(measured(s, d)), """SELECT volume_id, z, label FROM tr WHERE kept""", MEASURED + """, tr AS (
+  (SELECT volume_id, z, label, cy, cx, area, TRUE AS kept FROM reg WHERE z = 6 ORDER BY cx, cy LIMIT 1)
+  UNION ALL (SELECT t.volume_id, r.z, r.label, r.cy, r.cx, r.area, TRUE FROM tr t JOIN reg r ON r.z = t.z - 1 AND r.area <= 2 * t.area
+    QUALIFY row_number() OVER (ORDER BY (r.cy - t.cy) * (r.cy - t.cy) + (r.cx - t.cx) * (r.cx - t.cx)) = 1))""")
+query("slice_percentage", lambda s, d: S.slice_percentage(canonical(s, d).select("volume_id", "z").distinct()), "SELECT DISTINCT volume_id, z, round(z / 7::DOUBLE, 6) AS slice_percentage FROM vox")
+CURVE = "cv AS (SELECT volume_id, z AS i, z::DOUBLE AS z, avg(y) AS y, avg(x) AS x FROM vox WHERE v BETWEEN 120 AND 159 GROUP BY volume_id, vox.z)"
+query("local_frames", lambda s, d: S.local_frames(canonical(s, d).where("v BETWEEN 120 AND 159").groupBy("volume_id", F.col("z").alias("i")).agg(F.avg("z").alias("z"), F.avg("y").alias("y"), F.avg("x").alias("x"))), """
+  SELECT volume_id, i, round(tz, 6) AS tz, round(ty, 6) AS ty, round(tx, 6) AS tx, round(nz, 6) AS nz, round(ny, 6) AS ny, 0::DOUBLE AS nx, round(- tx * ny, 6) AS bz, round(tx * nz, 6) AS by, round(tz * ny - ty * nz, 6) AS bx
+  FROM (SELECT *, ty / sqrt(ty * ty + tz * tz) AS nz, -tz / sqrt(ty * ty + tz * tz) AS ny FROM (SELECT volume_id, i, dz / n AS tz, dy / n AS ty, dx / n AS tx FROM (SELECT *, sqrt(dz * dz + dy * dy + dx * dx) AS n FROM (
+    SELECT volume_id, i, (COALESCE(lead(z) OVER w, z) - COALESCE(lag(z) OVER w, z)) / k AS dz, (COALESCE(lead(y) OVER w, y) - COALESCE(lag(y) OVER w, y)) / k AS dy, (COALESCE(lead(x) OVER w, x) - COALESCE(lag(x) OVER w, x)) / k AS dx
+    FROM (SELECT *, CASE WHEN i IN (0, 6) THEN 1 ELSE 2 END AS k FROM cv) WINDOW w AS (ORDER BY i)))))""", CURVE)
+_W = P.gaussian_weights(1.0)
+GAUSS = "gw(d, w) AS (VALUES " + ", ".join(f"({k - len(_W) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(_W)) + ")"
+REFLECT = "CASE WHEN {0} + d < 0 THEN -1 - {0} - d WHEN {0} + d > 31 THEN 63 - {0} - d ELSE {0} + d END"
+voxel_query("gaussian_2d", lambda d: P.gaussian_2d(d, *SIZE, 1.0), "SELECT a.volume_id, a.z, a.y, a.x, round(sum(b.v * w), 6) AS v FROM g1 a, gw JOIN g1 b ON b.z = a.z AND b.y = a.y AND b.x = " + REFLECT.format("a.x") + " GROUP BY ALL",
+  GAUSS + ", g1 AS (SELECT a.volume_id, a.z, a.y, a.x, sum(b.v * w) AS v FROM vox a, gw JOIN vox b ON b.z = a.z AND b.x = a.x AND b.y = " + REFLECT.format("a.y") + " GROUP BY ALL)")
+voxel_query("sobel", P.sobel, """SELECT a.volume_id, a.z, a.y, a.x, round(sqrt(pow(sum(b.v * (2 - abs(b.x - a.x)) * (b.y - a.y)), 2) + pow(sum(b.v * (2 - abs(b.y - a.y)) * (b.x - a.x)), 2)), 6) AS v
+  FROM vox a JOIN vox b ON a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.y BETWEEN 1 AND 30 AND a.x BETWEEN 1 AND 30 GROUP BY ALL""")
