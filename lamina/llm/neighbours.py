@@ -46,6 +46,8 @@ DEPTH = 10
 ROWS = 8192
 QUERIES = 8192
 NEIGHBOURS = 5
+#: Rows a tree that a query searches at least.
+LEAST = 64
 EVERY = 50
 
 
@@ -184,7 +186,7 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = NEIGHBOURS, trees: int
     blocks = -(-sizes // ROWS)
     n_queries = queries.count()
     parts = max(1, math.ceil(n_queries / QUERIES))
-    plan = spark.sparkContext.broadcast((sizes, blocks, share * n))
+    plan = spark.sparkContext.broadcast((sizes, blocks, max(share * n, trees * LEAST)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, cut, budget = plan.value

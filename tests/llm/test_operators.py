@@ -1,0 +1,309 @@
+"""The ten operators against brute force, on small tables with every odd case."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lamina.llm import language, licenses, mixing, neighbours, packing, quality, simhash, substring, tokens, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+rng = np.random.default_rng(4)
+VOCAB = ["the", "of", "Äpfel", "über", "été", "naïve", "can't", "x1", "foo-bar", "end.", "日本語", "a", "**", "é"]
+
+
+def prose(n, seed=None):
+    r = np.random.default_rng(seed) if seed is not None else rng
+    return " ".join(VOCAB[i] + str(i % 3) for i in r.integers(0, len(VOCAB), n))
+
+
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+TEXTS = [
+    None, "", "   \n\t", "one", "Two words", prose(30, 1), prose(30, 1), prose(30, 1).upper(), f"{prose(25)} {PASSAGE} {prose(9)}",
+    f"{PASSAGE}\n{PASSAGE}", prose(3000, 2), prose(3000, 2) + " tail", "a\n\na\n a\nb", " lead and  double nbsp em \n", "x" * 300_000,
+    "<|endoftext|> special <|startoftext|>", "line\x1cseparator\x85next", PASSAGE[: len(PASSAGE) // 2], "Released under the MIT License.\nno",
+]
+ROWS = [(i * 7 % 101, t, ["en", "de", None][i % 3], ["src1", None, "src0", "src0"][i % 4], 0) for i, t in enumerate(TEXTS)]
+ROWS += [ROWS[8], ROWS[8], (None, TEXTS[8], "en", "src0", 0), (None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = F.lit("clash")
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).withColumns({c: extra for c in ("n_words", "score", "size", "fp", "count", "start")}).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (7, 0, 1), (7, 0, 1), (14, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_substring(docs, none):
+    order = sorted({(-1 if i is None else i, zlib.crc32((t or "").encode()), t) for i, t, *_ in ROWS}, key=lambda r: r[:2])
+    seen, want = set(), {}
+    for i, tag, t in order:
+        w = words(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            if k in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(k)
+        want[i, tag] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+    got = substring.remove_repeats(docs).collect()
+    assert len(got) == len(ROWS) and got[0].score == "clash"
+    for r in got:
+        key = (-1 if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode()))
+        assert (r.n_words, r.n_removed, r.kept_text) == want[key]
+    assert substring.remove_repeats(none).count() == 0
+
+
+def test_substring_blocks(docs, monkeypatch):
+    want = sorted(map(str, substring.remove_repeats(docs).select("doc_id", "n_removed", F.md5("kept_text")).collect()))
+    monkeypatch.setattr(substring, "BLOCK", 40)
+    assert sorted(map(str, substring.remove_repeats(docs).select("doc_id", "n_removed", F.md5("kept_text")).collect())) == want
+
+
+def fingerprint(t):
+    w = [x.translate({i: i + 32 for i in range(65, 91)}) for x in words(t)]
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, none):
+    rows = [(i, fingerprint(t)) for i, t, *_ in ROWS]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if (rows[a][1] ^ rows[b][1]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    low = {}
+    for (i, _), r in zip(rows, root):
+        low[r] = min(x for x in (low.get(r), i, 10**9) if x is not None)
+    want = sorted((str(i), f"{f:016x}", low[r]) for (i, f), r in zip(rows, root))
+    assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({i for (i, _), r in zip(rows, root) if i is not None and low[r] == i})
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
+
+
+def test_simhash_links(spark):
+    base = np.random.default_rng(3).integers(0, 2**63, 40)
+    fps = {int(b) for b in base}
+    for b in base:
+        for flips in range(1, 6):
+            x = int(b)
+            for k in np.random.default_rng(int(b) % 1000 + flips).choice(63, flips, replace=False):
+                x ^= 1 << int(k)
+            fps.add(x)
+    want = sorted((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3)
+    got = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(30)] + [(100, 101), (100, 102), (7, 7)]
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_tokens(docs, none):
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    library = tokens.load(path)
+    want = sorted((str(i), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ROWS)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokens.token_counts(docs, path).collect()) == want
+    assert tokens.token_counts(none, path).count() == 0
+
+
+def test_token_cache_is_bounded():
+    few = tokens.Lengths(tokens.tokenizer_path("byte_bpe_50k.json"), {}, cached=3)
+    assert few.count(prose(200, 8).encode()) == len(few.library.encode(prose(200, 8), add_special_tokens=False).ids)
+    assert len(few) <= 3 and len(few.old) <= 3
+
+
+def test_packing(docs, none):
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    library = tokens.load(path)
+    want = []
+    for i, t, *_ in ROWS:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        want += [(str(i), k, a, len(ids[a : a + 64]), zlib.crc32(np.array(ids[a : a + 64], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+    got = packing.pack(packing.cut_pieces(docs, path, 64), 64).collect()
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert len(bins) <= 1.02 * sum(r.length for r in got) / 64 + 1
+    assert packing.pack(packing.cut_pieces(none, path)).count() == 0
+
+
+def test_genetic_steps():
+    lengths = rng.integers(1, 100, 300).tolist()
+    best = packing.evolve(lengths, 128, 1, [])
+    again = packing.evolve(lengths, 128, 2, [best.bins])
+    assert sorted(x for b in again.bins for x in b) == list(range(300))
+    assert all(sum(lengths[i] for i in b) == 128 - r >= 0 for b, r in zip(again.bins, again.left))
+    assert len(again.bins) <= len(best.bins)
+
+
+def test_mixing(docs, none):
+    got = mixing.taken_words(docs).collect()
+    assert len(got) == len(ROWS)
+    per = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.target <= 2 * r.source_size
+        s = per.setdefault(r.source, [0, 0, r.target, 0])
+        s[0] += r.size
+        s[1] += r.taken
+        s[3] = max(s[3], r.size)
+    total = sum(s[0] for s in per.values())
+    assert abs(sum(s[2] for s in per.values()) - 1.5 * total) < 1e-6
+    assert all(abs(s[1] - s[2]) <= s[3] for s in per.values())
+    assert mixing.taken_words(none).count() == 0
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns and mixing.mixed(none).count() == 0
+
+
+def test_quality(docs, labels, none):
+    for r in quality.assess(docs, labels).collect():
+        if r.doc_id is None:
+            continue
+        t = next(t for i, t, *_ in ROWS if i == r.doc_id) or ""
+        w = words(t)
+        at = {}
+        for i in range(len(w) - 7):
+            at.setdefault(tuple(w[i : i + 8]), []).append(i)
+        twice = {k for v in at.values() if len(v) > 1 for i in v for k in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(twice))
+        assert r.base_failed == (len(w) < 20 or 100 * len(twice) > 30 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.assess(none, labels.limit(0)).count() == 0
+
+
+def test_licenses(docs, none):
+    assert [(r.line_no, r.license, r.dice) for r in licenses.scan(docs).collect()] == [(0, "mit", 1.0)]
+    assert licenses.scan(none).count() == 0
+    for name, text in licenses.TEMPLATES.items():
+        grams = licenses.bigrams(text)
+        short = " ".join(text.split()[: licenses.least_shared(len(grams)) + 1])
+        assert any(p in short.lower() for p in licenses.pivots(licenses.TEMPLATES)), name
+
+
+def test_language(spark, docs, none):
+    net = language.train(["the cat and the dog are there"] * 9 + ["der hund und die katze sind nicht da"] * 9, ["en"] * 9 + ["de"] * 9)
+    mean = language.Reader(net).pooled([b"the dog and the cat", b"die katze und der hund", b""])
+    assert [net.labels[k] for k in mean[:2].argmax(1)] == ["en", "de"]
+    got = language.identify(docs).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    for r in got:
+        texts = {t for i, t, *_ in ROWS if i == r.doc_id}
+        if not any(c.isalpha() for t in texts for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert language.identify(none).count() == 0
+
+
+def test_language_gradient():
+    """Backpropagation through time against finite differences."""
+    net = language.Network(["a", "b"], hidden=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    seen = {}
+    real = net._backward
+    net._backward = lambda *a: (real(*a), seen.update(a[-1]))[0]
+    segments, y = [b" ab ", b" c "], np.array([0, 1])
+    before = {k: v.copy() for k, v in net.p.items()}
+    np_rng = np.random.default_rng
+
+    class Fixed:
+        def integers(self, *a):
+            return np.array([0, 1])
+
+    np.random.default_rng = lambda *a: Fixed()
+    try:
+        net.train(segments, y, steps=1)
+    finally:
+        np.random.default_rng = np_rng
+    net.p = {k: v.copy() for k, v in before.items()}
+
+    def loss():
+        x, n = language._padded(segments)
+        logp, _ = net.logits(x, n)
+        return -sum(logp[i, : n[i], y[i]].sum() for i in range(2)) / n.sum()
+
+    for key, at in (("hf", (1, 4)), ("hb", (2, 7)), ("xf", (97, 2)), ("xb", (99, 8)), ("out", (1, 1))):
+        keep = net.p[key][at]
+        net.p[key][at] = keep + 1e-4
+        up = loss()
+        net.p[key][at] = keep - 1e-4
+        slope = (up - loss()) / 2e-4
+        net.p[key][at] = keep
+        assert abs(slope - seen[key][at]) < 1e-4, key
+
+
+def test_toxicity(docs, labels, none):
+    got = toxicity.score(docs.drop("score"), labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert toxicity.score(none, labels).count() == 0
+
+
+def test_grammar():
+    g = toxicity.Grammar({}, {"stupid": 4.0})
+    weigh = lambda t: g.measure(t.encode())[0]
+    assert weigh("you are stupid") > weigh("that is stupid") > 0
+    assert weigh("you are not stupid") < 0.2 * weigh("you are stupid")
+    assert weigh("she said that he is stupid") < 0.5 * weigh("he is stupid")
+    assert weigh("i will kill you") > 0 == weigh("you will kill time") == weigh("kill. i will. you")
+    assert g.measure(None) == (0.0, 0, 0)
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(300, 8))
+    x[50:60] = x[50]
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    odd = [(1000, None), (1050, [0.0] * 8), (1100, [float("nan")] * 8), (1150, [1.0, None] * 4), (1200, [float("inf")] * 8), (None, [1.0] * 8)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = neighbours.search(neighbours.valid_vectors(frame), F.col("vec_id") % 50 == 0).collect()
+    assert {g.query_id for g in got} == {0, 50, 100, 150, 200, 250}
+    hits = 0
+    for q in range(0, 300, 50):
+        s = (x @ x[q]) / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+        mine = sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)
+        assert [g.rank for g in mine] == [1, 2, 3, 4, 5]
+        assert all(abs(g.score - s[g.vec_id]) < 1e-12 for g in mine)
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[i], 12), i))[:5]
+        hits += len(set(best) & {g.vec_id for g in mine})
+    assert [g.vec_id for g in sorted(got, key=lambda g: g.rank) if g.query_id == 50] == [51, 52, 53, 54, 55]
+    assert hits >= 27
+    few = neighbours.search(neighbours.valid_vectors(frame.where("vec_id < 3")), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(g.vec_id for g in few) == [1, 2]
+    assert neighbours.search(neighbours.valid_vectors(frame.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_hash_of_kept_text(spark, docs):
+    r = substring.remove_repeats(docs.where("text = 'Two words'")).select(F.sha2("kept_text", 256).alias("h")).first()
+    assert r.h == hashlib.sha256(b"Two words").hexdigest()
