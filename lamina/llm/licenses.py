@@ -79,20 +79,27 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     lines = docs.where(F.col(text).rlike(pattern)).select(
         F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
     )
-    folded = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.split(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), " ")
-    lines = lines.where(F.col("line").rlike(pattern)).select("doc_id", "line_no", words.alias("w"))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.element_at("w", i + 2)))
-    lines = lines.select("doc_id", "line_no", F.array_distinct(pairs).alias("b"))
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, b)).alias("t")) for k, b in sorted(grams.items())])
     bound = threshold / (2 - threshold)
-    near = F.filter(known, lambda x: (F.size("b") >= F.size(x.t) * bound - 1e-9) & (F.size(x.t) >= F.size("b") * bound - 1e-9))
-    def dice(x: F.Column) -> F.Column:
-        return 2 * F.size(F.array_intersect("b", x.t)) / (F.size("b") + F.size(x.t))
 
-    best = F.array_min(F.transform(near, lambda x: F.struct((-dice(x)).alias("d"), x.license.alias("license"))))
-    rows = lines.select("doc_id", "line_no", best.alias("best"))
-    return rows.where(F.col("best.d") <= -threshold).select("doc_id", "line_no", "best.license", (-F.col("best.d")).alias("dice"))
+    # Each step below is bound to a lambda's variable, so that it is worked out once a line and not at every use.
+    def split(line: F.Column) -> F.Column:
+        folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return F.split(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), " ")
+
+    def pairs(w: F.Column) -> F.Column:
+        firsts = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.array_distinct(F.transform(firsts, lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2))))
+
+    def best(b: F.Column) -> F.Column:
+        near = F.filter(known, lambda x: (F.size(b) >= F.size(x.t) * bound - 1e-9) & (F.size(x.t) >= F.size(b) * bound - 1e-9))
+        dice = lambda x: 2 * F.size(F.array_intersect(b, x.t)) / (F.size(b) + F.size(x.t))
+        return F.array_min(F.transform(near, lambda x: F.struct((-dice(x)).alias("d"), x.license.alias("license"))))
+
+    words = F.transform(F.array("line"), split)
+    found = F.transform(F.transform(words, pairs), best)
+    rows = lines.where(F.col("line").rlike(pattern)).select("doc_id", "line_no", F.explode(F.filter(found, lambda m: m.d <= -threshold)).alias("best"))
+    return rows.select("doc_id", "line_no", "best.license", (-F.col("best.d")).alias("dice"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
