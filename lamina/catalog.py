@@ -11,17 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators import filters as N
 from lamina.operators import intensity as I
 from lamina.operators import labeling as L
 from lamina.operators import measure as M
 from lamina.operators import morphology as P
+from lamina.operators import reslice as R
+from lamina.operators import segmentation as G
 from lamina.operators import sequence as S
+from lamina.plans import analyzer, dental
 from lamina.plans.volume import DEPTH, HEIGHT, ORACLE_CTE, WIDTH, canonical, foreground
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SIZE = (HEIGHT, WIDTH)
+FULL = (DEPTH, HEIGHT, WIDTH)
 FG = "fg AS (SELECT volume_id, z, y, x FROM vox WHERE v > 100)"
 IN = "y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31"
 
@@ -175,3 +180,70 @@ voxel_query("gaussian_2d", lambda d: P.gaussian_2d(d, *SIZE, 1.0), "SELECT a.vol
   GAUSS + ", g1 AS (SELECT a.volume_id, a.z, a.y, a.x, sum(b.v * w) AS v FROM vox a, gw JOIN vox b ON b.z = a.z AND b.x = a.x AND b.y = " + REFLECT.format("a.y") + " GROUP BY ALL)")
 voxel_query("sobel", P.sobel, """SELECT a.volume_id, a.z, a.y, a.x, round(sqrt(pow(sum(b.v * (2 - abs(b.x - a.x)) * (b.y - a.y)), 2) + pow(sum(b.v * (2 - abs(b.y - a.y)) * (b.x - a.x)), 2)), 6) AS v
   FROM vox a JOIN vox b ON a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.y BETWEEN 1 AND 30 AND a.x BETWEEN 1 AND 30 GROUP BY ALL""")
+
+
+# Slab and slice kernels.  Slabs of three slices, so that halos are in use on the seven-slice volume.
+BALL = "(VALUES (0, 0, 0), (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) s(a, b, c)"
+IN3 = f"z BETWEEN 0 AND 6 AND {IN}"
+
+
+def _dilated_3d(name: str, source: str) -> str:
+    return f"{name} AS (SELECT DISTINCT volume_id, z, y, x FROM (SELECT volume_id, z + a AS z, y + b AS y, x + c AS x FROM {source}, {BALL}) WHERE {IN3})"
+
+
+def _eroded_3d(name: str, source: str, outside: bool) -> str:
+    need = "7 - (z = 0)::INT - (z = 6)::INT - (y = 0)::INT - (y = 31)::INT - (x = 0)::INT - (x = 31)::INT" if outside else "7"
+    return f"{name} AS (SELECT volume_id, z, y, x FROM (SELECT volume_id, z + a AS z, y + b AS y, x + c AS x FROM {source}, {BALL}) WHERE {IN3} GROUP BY ALL HAVING count(*) = {need})"
+
+
+DEEP = "CASE WHEN a.z + d < 0 THEN -1 - a.z - d WHEN a.z + d > 6 THEN 13 - a.z - d ELSE a.z + d END"
+voxel_query("gaussian_3d", lambda d: N.gaussian_3d(d, FULL, 1.0, 3), "SELECT a.volume_id, a.z, a.y, a.x, round(sum(b.v * w), 6) AS v FROM g2 a, gw JOIN g2 b ON b.y = a.y AND b.x = a.x AND b.z = " + DEEP + " GROUP BY ALL",
+  GAUSS + ", g1 AS (SELECT a.volume_id, a.z, a.y, a.x, sum(b.v * w) AS v FROM vox a, gw JOIN vox b ON b.z = a.z AND b.x = a.x AND b.y = " + REFLECT.format("a.y") + " GROUP BY ALL)"
+  + ", g2 AS (SELECT a.volume_id, a.z, a.y, a.x, sum(b.v * w) AS v FROM g1 a, gw JOIN g1 b ON b.z = a.z AND b.y = a.y AND b.x = " + REFLECT.format("a.x") + " GROUP BY ALL)")
+mask_query("closing_3d", lambda m: N.closing_3d(m, FULL, 1, 3), "SELECT * FROM c3", f"{FG}, {_dilated_3d('d3', 'fg')}, {_eroded_3d('c3', 'd3', True)}")
+mask_query("opening_3d", lambda m: N.opening_3d(m, FULL, 1, 3), "SELECT * FROM o3", f"{FG}, {_eroded_3d('e3', 'fg', True)}, {_dilated_3d('o3', 'e3')}")
+mask_query("dilate_3d", lambda m: N.dilate_3d(m, FULL, 1, 3), "SELECT * FROM d3", f"{FG}, {_dilated_3d('d3', 'fg')}")
+mask_query("erode_3d", lambda m: N.erode_3d(m, FULL, 1, 3), "SELECT * FROM e3", f"{FG}, {_eroded_3d('e3', 'fg', False)}")
+mask_query("distance_transform", lambda m: N.distance_transform(m, *SIZE), "SELECT a.volume_id, a.z, a.y, a.x, round(sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))), 6) AS v FROM fg a JOIN vox b ON a.z = b.z AND b.v <= 100 GROUP BY ALL", FG)
+mask_query("neighbour_graph", lambda m: R.skeleton_edges(m).selectExpr("volume_id", *[f"{e}.{c} AS {e}_{c}" for e in ("src", "dst") for c in "zyx"], "weight"), """
+  SELECT a.volume_id, a.z AS src_z, a.y AS src_y, a.x AS src_x, b.z AS dst_z, b.y AS dst_y, b.x AS dst_x, round(sqrt(abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x)), 6) AS weight
+  FROM fg a JOIN fg b ON abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.z, a.y, a.x) < (b.z, b.y, b.x)""", FG)
+voxel_query("segment_manual", lambda d: G.segment(d, *SIZE, "manual", 100, threshold=100), "SELECT * FROM lab", f"""{SMOOTH}, {_labels('l4', 'cl', FOUR)},
+  a4 AS (SELECT z, label FROM l4 GROUP BY ALL HAVING count(*) >= 100), big AS (SELECT volume_id, z, y, x FROM l4 SEMI JOIN a4 USING (z, label)), {_labels('lab', 'big', EIGHT)}""")
+query("area_histogram", lambda s, d: analyzer.plot_histogram(areas(s, d), "area", 50), """SELECT i::INT AS bin, round(lo + (i + 0.5::DOUBLE) * ((hi - lo) / 50), 6) AS centre, count(area) AS cnt
+  FROM (SELECT min(area)::DOUBLE AS lo, max(area)::DOUBLE AS hi FROM area) CROSS JOIN range(50) t(i) LEFT JOIN area ON least(floor((area - lo) / (hi - lo) * 50), 49) = i GROUP BY i, lo, hi""", AREA)
+query("slice_overlay", lambda s, d: analyzer.slice_overlay(canonical(s, d), labelled(s, d), 3), "SELECT volume_id, vox.z, vox.y, vox.x, v, COALESCE(label, 0) AS label FROM vox LEFT JOIN lab USING (volume_id, z, y, x) WHERE z = 3", LABELLED)
+query("comparison_chart", lambda s, d: analyzer.comparison_plots(measured(s, d)), """SELECT a.volume_id, a.z, a.area - b.area AS area_difference, round(a.mean_intensity - b.mean_intensity, 6) AS intensity_difference,
+  round(a.area / b.area::DOUBLE, 6) AS area_ratio, round(a.mean_intensity / b.mean_intensity, 6) AS intensity_ratio FROM rk a JOIN rk b ON a.volume_id = b.volume_id AND a.z = b.z AND a.rn = 1 AND b.rn = 2""",
+  MEASURED + ", rk AS (SELECT *, row_number() OVER (PARTITION BY volume_id, z ORDER BY area DESC, label) AS rn FROM reg)")
+voxel_query("reverse_slices", analyzer.slice_numbers, "SELECT volume_id, 6 - z AS z, y, x, v FROM vox")
+voxel_query("trim_ends", lambda d: dental.trim_ends(d.withColumn("v", F.expr("CASE WHEN z BETWEEN 1 AND 5 AND v > 100 THEN v WHEN y = 31 AND x = 31 THEN 7 ELSE 0 END")), 20),
+  "SELECT volume_id, z, y, x, CASE WHEN z NOT BETWEEN 1 AND 5 THEN 0 WHEN v > 100 THEN v WHEN y = 31 AND x = 31 THEN 7 ELSE 0 END AS v FROM vox")
+
+
+def framed_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = canonical(spark, sf_dir).where("v BETWEEN 120 AND 159").groupBy("volume_id", F.col("z").alias("i")).agg(F.avg("z").alias("z"), F.avg("y").alias("y"), F.avg("x").alias("x"))
+    return line.join(S.local_frames(line), ["volume_id", "i"])
+
+
+FRAMES = CURVE + """, fr AS (SELECT *, -tx * ny AS bz, tx * nz AS "by", tz * ny - ty * nz AS bx FROM (SELECT *, ty / sqrt(ty * ty + tz * tz) AS nz, -tz / sqrt(ty * ty + tz * tz) AS ny, 0::DOUBLE AS nx FROM (
+    SELECT *, dz / n AS tz, dy / n AS ty, dx / n AS tx FROM (SELECT *, sqrt(dz * dz + dy * dy + dx * dx) AS n FROM (
+    SELECT volume_id, i, z, y, x, (COALESCE(lead(z) OVER w, z) - COALESCE(lag(z) OVER w, z)) / k AS dz, (COALESCE(lead(y) OVER w, y) - COALESCE(lag(y) OVER w, y)) / k AS dy, (COALESCE(lead(x) OVER w, x) - COALESCE(lag(x) OVER w, x)) / k AS dx
+    FROM (SELECT *, CASE WHEN i IN (0, 6) THEN 1 ELSE 2 END AS k FROM cv) WINDOW w AS (ORDER BY i))))))"""
+query("resample", lambda s, d: R.resample(canonical(s, d), framed_curve(s, d), 9, 1.0), """SELECT p.volume_id, p.i AS z, p.ya AS y, p.xb AS x, round(sum((CASE WHEN oz = 1 THEN fz ELSE 1 - fz END) * (CASE WHEN oy = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN ox = 1 THEN fx ELSE 1 - fx END) * COALESCE(v, 0)), 6) AS v
+  FROM (SELECT *, pz - floor(pz) AS fz, py - floor(py) AS fy, px - floor(px) AS fx FROM (SELECT fr.volume_id, i, a.k::INT AS ya, b.k::INT AS xb, z + ta * nz + tb * bz AS pz, y + ta * ny + tb * fr."by" AS py, x + ta * nx + tb * bx AS px
+    FROM fr, (SELECT k, -4.5::DOUBLE + k * 1.125::DOUBLE AS ta FROM range(9) r(k)) a, (SELECT k, -4.5::DOUBLE + k * 1.125::DOUBLE AS tb FROM range(9) r(k)) b)) p
+  CROSS JOIN (SELECT oz.i AS oz, oy.i AS oy, ox.i AS ox FROM range(2) oz(i), range(2) oy(i), range(2) ox(i)) LEFT JOIN vox ON vox.z = floor(pz) + oz AND vox.y = floor(py) + oy AND vox.x = floor(px) + ox GROUP BY ALL""", FRAMES)
+# Sequential algorithms: hand-made goldens in the tests stand for SQL.
+voxel_query("watershed", lambda d: G.segment(d, *SIZE, "watershed", 20, min_distance=4), "")
+voxel_query("segment_local", lambda d: G.segment(d, *SIZE, "local", 20, block_size=15), "")
+voxel_query("segment_otsu", lambda d: G.segment(d, *SIZE, "otsu", 20), "")
+voxel_query("clahe", lambda d: N.clahe(d, *SIZE), "")
+voxel_query("enhance_edges", lambda d: N.enhance_edges(d, FULL, 1.0, True, 3), "")
+voxel_query("difference_of_gaussians", lambda d: N.difference_of_gaussians(d, FULL, 1.0, 2.0, 3), "")
+voxel_query("valley_threshold", N.valley_threshold, "")
+voxel_query("skeleton", lambda d: N.skeleton(foreground(d)), "")
+voxel_query("farthest_path", lambda d: R.path_points(N.skeleton(d.where("v BETWEEN 120 AND 159"))), "")
+voxel_query("curved_reslice", lambda d: R.cmpr(d.where("v BETWEEN 120 AND 159"), FULL, 9, 1.0, 1.0, 3)["volume"], "")
+voxel_query("incisor", lambda d: dental.segment_incisor(d, FULL, 3, 50), "")
+voxel_query("upper_threshold", dental.upper_threshold, "")

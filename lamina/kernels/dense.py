@@ -162,7 +162,12 @@ def clahe(a: np.ndarray, clip_limit: float = 0.03, bins: int = 256, tiles: int =
 
 
 def otsu(a: np.ndarray, bins: int = 256) -> float:
-    """Otsu's threshold: one bin a level for integers, else centres of equal bins; the first of equal maxima."""
+    """Otsu's threshold: one bin a level for integers, else centres of equal bins; the first of equal maxima.
+
+    NaN, which nothing exceeds, where a value isn't finite.
+    """
+    if not np.isfinite(a).all():
+        return float("nan")
     if a.min() == a.max():
         return float(a.flat[0])
     if np.issubdtype(a.dtype, np.integer):

@@ -5,14 +5,13 @@ In 3-D the kernel labels slabs of slices, and the labels that touch across the
 slabs' faces are merged as a graph of labels, which is far smaller than the volume.
 """
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.kernels.components import components
+from lamina.operators.lineage import cut
 
 LABELS = "volume_id string, z int, y int, x int, label int"
 
@@ -49,10 +48,11 @@ def fill_holes(mask: DataFrame, height: int, width: int) -> DataFrame:
     return mask.groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, y int, x int")
 
 
-def label_volume(mask: DataFrame, slab: int = 64, cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def label_volume(mask: DataFrame, slab: int = 64) -> DataFrame:
     """3-D labels with face connectivity: label is the component's first voxel in raster order, as (z, y, x) packed.
 
-    cut is applied to the label graph after each round; give DataFrame.checkpoint on a cluster.
+    The kernel's labels and each round's label graph are written, so a round
+    reads the one before it and never runs a kernel again.
     """
     key = F.col("z").cast("long") * (1 << 40) + F.col("y").cast("long") * (1 << 20) + F.col("x")
 
