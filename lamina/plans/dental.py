@@ -202,16 +202,18 @@ def enamel_curve(voxels: DataFrame, size: Size, min_area: int = 200) -> DataFram
     bounds is an error of that workflow and has no rows.
     """
     depth = size[0]
-    turned = trim_ends(voxels, min_area).withColumn("z", (F.lit(depth - 1) - F.col("z")).cast("int"))
+    turned = cut(trim_ends(voxels, min_area).withColumn("z", (F.lit(depth - 1) - F.col("z")).cast("int")))
     ring = dentin_ring(turned, size)
     start = F.coalesce("z_ring", F.lit(0))
     cropped = turned.join(ring, "volume_id", "left").where(F.col("z") >= start).withColumn("z", (F.col("z") - start).cast("int")).drop("z_ring")
     slices = cropped.select("volume_id", "z").distinct()
     depths = slices.groupBy("volume_id").agg((F.max("z") + 1).alias("depth"))
     cropped = cut(cropped)
-    bounds = unknown_bounds(cropped, dentin_intensity(cropped, depths), size).where("lower IS NOT NULL AND upper IS NOT NULL")
+    # A row a volume each; written, as several branches below read them.
+    dentin = cut(dentin_intensity(cropped, depths))
+    bounds = cut(unknown_bounds(cropped, dentin, size).where("lower IS NOT NULL AND upper IS NOT NULL"))
     rows = cropped.join(bounds, "volume_id")
-    found = analyze_before(rows.where("z < lower").drop("lower", "upper"), size).unionByName(analyze_after(rows.where("z >= upper").drop("lower", "upper")))
+    found = cut(analyze_before(rows.where("z < lower").drop("lower", "upper"), size)).unionByName(analyze_after(rows.where("z >= upper").drop("lower", "upper")))
     numbered = sequence.slice_percentage(slices.join(bounds, "volume_id")).join(found, ["volume_id", "z"], "left")
     unknown = (F.col("z") >= F.col("lower")) & (F.col("z") < F.col("upper"))
     column = lambda c, none: F.when(unknown, 1.0).otherwise(F.coalesce(c, F.lit(none))).alias(c)
