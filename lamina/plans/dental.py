@@ -90,7 +90,7 @@ def segment_mandible(voxels: DataFrame, size: Size, slab: int = 64) -> dict[str,
     Raises WorkflowError where a volume has no bone to take an intensity from.
     """
     normal = intensity.normalize(voxels, "minmax")
-    bone_level = bone_intensity(normal, size)
+    bone_level = cut(bone_intensity(normal, size))
     missing = voxels.select("volume_id").distinct().join(bone_level.where("bone IS NOT NULL"), "volume_id", "left_anti")
     if not missing.isEmpty():
         raise WorkflowError("no bone in the middle slices of a volume")
@@ -102,7 +102,7 @@ def segment_mandible(voxels: DataFrame, size: Size, slab: int = 64) -> dict[str,
     dense = clean.withColumn("v", F.when(F.col("v") >= BONE * F.col("bone"), F.col("v")).otherwise(0.0)).drop("bone")
     near = filters.dilate_3d(incisor, size, 2, slab).withColumn("near", F.lit(True))
     rest = dense.join(near, FRAME, "left").withColumn("v", F.when(F.col("near"), 0.0).otherwise(F.col("v"))).drop("near")
-    bone, molars = segment_molar_bone(rest, size, slab)
+    bone, molars = segment_molar_bone(cut(rest), size, slab)
     return {"clean": clean.drop("bone"), "incisor": measure.keep_mask(voxels, incisor), "bone": measure.keep_mask(voxels, bone), "molars": measure.keep_mask(voxels, molars)}
 
 

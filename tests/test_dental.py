@@ -72,3 +72,27 @@ def test_no_bone_is_an_error(spark):
         dental.segment_mandible(voxels(spark, *a), a.shape)
     with pytest.raises(dental.WorkflowError):
         dental.segment_mandible(voxels(spark, *(a * 0)), a.shape)
+
+
+def test_whole_mandible(spark):
+    a = np.zeros((6, 50, 120), int)
+    for z in range(6):
+        disc(a, z, 25, 16, 12, 220)
+        disc(a, z, 25, 60, 16, 220)
+        disc(a, z, 25, 100, 9, 220)
+    got = dental.segment_mandible(voxels(spark, *a).repartition(4).cache(), a.shape)
+    for part, low, high in (("incisor", 4, 28), ("bone", 44, 76), ("molars", 91, 109)):
+        p = got[part].where("v > 0").toPandas()
+        assert (p.x.min(), p.x.max()) == (low, high)
+
+
+def test_whole_enamel_curve(spark):
+    a = np.zeros((30, 44, 44), int)
+    for z in range(30):
+        disc(a, z, 22, 22, 18, 100)
+        disc(a, z, 26, 22, 4 if 12 <= 29 - z < 18 else 12, 200)
+        disc(a, z, 10, 22, 3, 60)
+    rows = dental.enamel_curve(voxels(spark, *a).repartition(4).cache(), a.shape).orderBy("z").collect()
+    assert [r.z for r in rows] == list(range(30)) and rows[15].slice_percentage == 0.5
+    assert all(tuple(r)[3:] == (1.0, 1.0, 1.0) for r in rows[12:18])
+    assert all(tuple(r)[4:] == (200.0, 441.0) for r in rows[18:]) and all(r.intensity_ratios < 1 for r in rows[:12])
