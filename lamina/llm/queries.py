@@ -7,6 +7,7 @@ QUERIES = {
     "op2_rlz": substring.op2_rlz,
     "op3_quality": quality.op3_quality,
     "op4_licenses": licenses.op4_licenses,
+    "op4_license_windows": licenses.op4_license_windows,
     "op5_language": language.op5_language,
     "op6_tokens": tokens.op6_tokens,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -214,6 +214,45 @@ def test_licenses(docs, none):
         assert any(p in short.lower() for p in licenses.pivots(licenses.TEMPLATES)), name
 
 
+def test_license_windows(spark, docs, none):
+    bodies = [licenses.FORMS[k][-1] for k in ("mit", "isc", "apache-2.0", "bsd")]
+    wrapped = ["\n".join(f" * {' '.join(w[i : i + 9])}" for i in range(0, len(w), 9)) for w in map(str.split, bodies)]
+    cases = {
+        "prose. All rights reserved. More prose": [("proprietary", 0, 0)],
+        "This project is released under the MIT License.": [("mit", 0, 0)],
+        "Licensed under the MIT License.": [("mit", 0, 0)],
+        "one\nIt is licensed under the Apache\n\n# License, Version 2.0. And more": [("apache-2.0", 1, 3)],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": [("gpl-2.0", 0, 1)],
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": [("lgpl-2.1", 0, 1)],
+        "license": [], "A license is a general public permission without warranties.": [],
+    }
+    rows = list(enumerate([*cases, *wrapped]))
+    got = licenses.scan_windows(spark.createDataFrame(rows + rows[:1], "doc_id long, text string")).collect()
+    for i, want in enumerate(cases.values()):
+        assert sorted((r.license, r.line_no, r.last_line) for r in got if r.doc_id == i) == want * (2 if i == 0 else 1), rows[i]
+    for i, (name, body) in enumerate(zip(("mit", "isc", "apache-2.0", "bsd"), bodies), len(cases)):
+        assert [(r.license, r.dice) for r in got if r.doc_id == i] == [(name, 1.0)] * len(licenses.passages(body))
+    assert [(r.line_no, r.license) for r in licenses.scan_windows(docs).collect()] == [(0, "mit")]
+    assert licenses.scan_windows(none).count() == 0
+
+
+def test_license_windows_lose_nothing(spark):
+    """Windows about pivots against all windows."""
+    form = licenses.FORMS["gpl-3.0"][0]
+    w = form.split()
+    r = np.random.default_rng(9)
+    texts = [" ".join(["x"] * (k % 4) + [x if r.random() < 0.93 else "y" for x in w] + ["the"] * (k % 3)) for k in range(40)]
+    got = {g.doc_id: g.dice for g in licenses.scan_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"gpl-3.0": [form]}).collect()}
+    t, want = set(licenses.bigrams(form)), {}
+    for k, text in enumerate(texts):
+        x = text.split()
+        parts = [set(licenses.bigrams(" ".join(x[a:b]))) for a in range(len(x)) for b in range(a + 2, len(x) + 1)]
+        best = max(2 * len(p & t) / (len(p) + len(t)) for p in parts)
+        if best >= licenses.THRESHOLD:
+            want[k] = best
+    assert got == want and 0 < len(want) < 40
+
+
 def test_language(spark, docs, none):
     net = language.train(["the cat and the dog are there"] * 9 + ["der hund und die katze sind nicht da"] * 9, ["en"] * 9 + ["de"] * 9)
     mean = language.Reader(net).pooled([b"the dog and the cat", b"die katze und der hund", b""])
