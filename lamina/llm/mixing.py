@@ -12,9 +12,13 @@ between early and late.  Its integral is ``t + slope * (t*t - t)`` of the
 target.  Documents of a source stand in a fixed pseudo-random order; the words
 before one are its cumulative demand, and the demand's inverse gives its
 training position.  Each pass over a source goes on where the last one
-ended, and a document is taken whole or not at all in a pass (when the middle
-of its words lies below the target), so ``taken`` is 0, 1 or 2 times its size.
-The mix itself (``mixed``) is range-sorted by position.
+ended: pass k of a document has the words before it and those of k whole
+passes as its demand, and a position of its own.  A document is taken whole or
+not at all in a pass (when the middle of its words lies below the target), so
+``taken`` is 0, 1 or 2 times its size.
+The mix itself (``mixed``) and its schedule (``schedule``, op8_passes) have a
+row for each pass and are range-sorted by position; op8_mixing has the rows of
+its SQL, with the position of the first pass.
 
 Scale.  Only sizes move.  The running sum of a source is made of blocks of
 its order, about ``BLOCK`` rows each: block totals are summed over blocks, and
@@ -80,7 +84,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken and position of every row; text is read and left behind."""
+    """doc_id, size, source_size, target, taken, position (of the first pass) and positions (of each) of every row; text is read and left behind."""
     slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     sized = checkpoint(slim.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     goal = checkpoint(targets(sized)).withColumnRenamed("source", "__source")
@@ -91,32 +95,38 @@ def taken_words(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         "__block", F.shiftright(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * blocks, 32)
     )
     placed = _ordered(rows)
-    passes = F.lit(0)
-    for k in range(CAP):
-        middle = F.col("before") + F.col("source_size") * k + F.col("size") / 2
-        passes = passes + (middle < F.col("target")).cast("int")
-    # Inverse of t + a (t*t - t): the demand's share when this document's first word comes up.
-    share = F.col("before") / F.col("target")
     a = F.when(F.col("rank") % 2 == 0, F.lit(SLOPE)).otherwise(F.lit(-SLOPE))
-    position = (-(1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * a)
+    passes, positions = F.lit(0), []
+    for k in range(CAP):
+        demand = F.col("before") + F.col("source_size") * k
+        in_pass = demand + F.col("size") / 2 < F.col("target")
+        passes = passes + in_pass.cast("int")
+        # Inverse of t + a (t*t - t): the demand's share when this document's first word comes up.
+        share = demand / F.col("target")
+        position = (-(1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * a)
+        positions.append(F.when(in_pass & (F.col("size") > 0), position))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * passes).alias("taken"),
-        F.when((passes > 0) & (F.col("size") > 0), position).alias("position"), passes.alias("passes"),
+        positions[0].alias("position"), F.array_compact(F.array(*positions)).alias("positions"), passes.alias("passes"),
     )
 
 
+def schedule(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, size, pass (from 0) and position of every pass of every row, range-sorted by position."""
+    rows = taken_words(docs, id_column, text, source)
+    return rows.select("doc_id", "source", "size", F.posexplode("positions").alias("pass", "position")).sort("position", "pass", "doc_id")
+
+
 def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix: each document as often as it is taken, all columns of docs, range-sorted by training position.
 
     Documents without words carry nothing to train on and are not in the mix.
     Rows that repeat an id and a source are taken alike: by the first of them.
     """
-    keep = taken_words(docs, id_column, text, source).where("passes > 0 AND size > 0").groupBy("doc_id", "source").agg(
-        F.min("position").alias("__position"), F.max("passes").alias("__passes")
-    )
+    keep = taken_words(docs, id_column, text, source).where("passes > 0 AND size > 0").groupBy("doc_id", "source").agg(F.min("positions").alias("__positions"))
     keep = keep.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
     rows = docs.join(keep, F.col(id_column).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")))
-    rows = rows.where(word_count(F.col(text)) > 0).withColumn("__pass", F.explode(F.sequence(F.lit(1), "__passes")))
+    rows = rows.where(word_count(F.col(text)) > 0).select(*docs.columns, F.posexplode("__positions").alias("__pass", "__position"))
     return rows.sort("__position", "__pass", id_column).select(*docs.columns)
 
 
@@ -125,6 +135,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def op8_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = schedule(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "source", "size", "pass", F.round("position", 9).alias("position"))
+
+
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

@@ -12,6 +12,7 @@ QUERIES = {
     "op6_tokens": tokens.op6_tokens,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
+    "op8_passes": mixing.op8_passes,
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
 }

@@ -188,6 +188,35 @@ def test_mixing(docs, none):
     assert mix.columns == docs.columns and mixing.mixed(none).count() == 0
 
 
+def test_mixing_passes(spark):
+    """Each pass of a document stands where its own demand comes up, after the whole pass before."""
+    rows = [(i, " ".join(["w"] * (1 + i % 5)), "en", f"src{i % 4}" if i % 4 else None, 0) for i in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    by_id = {r.doc_id: r for r in mixing.taken_words(frame).collect()}
+    rank = {s: k for k, s in enumerate(sorted({r[3] for r in rows}, key=lambda s: (s is None, s)))}
+    want = {}
+    for source, k in rank.items():
+        mine = sorted((r for r in rows if r[3] == source), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+        a = 0.5 if k % 2 == 0 else -0.5
+        demand, target = 0, by_id[mine[0][0]].target
+        for n in range(2):
+            for i, text, *_ in mine:
+                size = len(words(text))
+                if demand + size / 2 < target:
+                    want[i, n] = (a - 1 + ((1 - a) ** 2 + 4 * a * demand / target) ** 0.5) / (2 * a)
+                demand += size
+    got = mixing.schedule(frame).collect()
+    assert len(got) == len(want) and all(abs(r.position - want[r.doc_id, r["pass"]]) < 1e-9 for r in got)
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    for source in rank:
+        ends = [[r.position for r in got if r.source == source and r["pass"] == n] for n in range(2)]
+        assert not ends[1] or max(ends[0]) < min(ends[1])
+    assert any(n for _, n in want) and max(want.values()) > 0.9
+    order = [r.doc_id for r in mixing.mixed(frame).collect()]
+    assert order == [r.doc_id for r in got]
+    assert all(by_id[i].position == by_id[i].positions[0] and len(by_id[i].positions) == by_id[i].passes for i, n in want)
+
+
 def test_quality(docs, labels, none):
     for r in quality.assess(docs, labels).collect():
         if r.doc_id is None:
