@@ -136,9 +136,11 @@ def components(pairs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint and component_id of every row."""
-    prints = checkpoint(fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))))
+def clusters(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp, tag, root and component_id of every row; tag is the text's hash where the id is null, root a fingerprint of the component."""
+    tag = F.when(F.col(id_column).isNull(), _tag(F.col(text)))
+    slim = docs.select(F.col(id_column).alias("doc_id"), tag.alias("tag"), F.col(text).alias("text"))
+    prints = checkpoint(fingerprints(slim, extra=("doc_id", "tag")))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     root = components(links(distinct.select("fp")))
     least = (
@@ -146,8 +148,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     )
     class_id = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = least.join(class_id, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(
+    of = least.join(class_id, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp")
+
+
+def _tag(text: F.Column) -> F.Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint and component_id of every row."""
+    return clusters(docs, id_column, text).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -157,19 +168,27 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id are one document, which goes if any of them links to
     a smaller id; else one row of it stays, the smallest.  Rows without an id
-    can't be named, so they stay.  The text is shuffled once, for the anti-join
-    (not at all where Spark finds the list of losers small enough to send).
+    come after all ids: none stays in a component that has an id, and in one
+    without ids a single row stays, of the least text hash.  The text is
+    shuffled once, for the anti-join (not at all where Spark finds the list of
+    losers small enough to send), and again only for rows without an id.
     """
-    found = checkpoint(near_duplicates(docs))
+    found = checkpoint(clusters(docs))
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(losers, F.col("doc_id") == F.col("__gone"), "left_anti")
+    named = found.where("doc_id IS NULL").isEmpty()
+    rows = docs if named else docs.where("doc_id IS NOT NULL")
+    kept = rows.join(losers, F.col("doc_id") == F.col("__gone"), "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__more"))
-    if repeated.isEmpty():
+    if not repeated.isEmpty():
+        same = F.col("doc_id") == F.col("__more")
+        others = [c for c in docs.columns if c != "doc_id"]
+        several = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
+        kept = kept.join(repeated, same, "left_anti").unionByName(several.select("doc_id", "__row.*")).select(*docs.columns)
+    if named:
         return kept
-    same = F.col("doc_id") == F.col("__more")
-    others = [c for c in docs.columns if c != "doc_id"]
-    several = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
-    return kept.join(repeated, same, "left_anti").unionByName(several.select("doc_id", "__row.*")).select(*docs.columns)
+    alone = found.where("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("tag").alias("__tag")).select("__tag")
+    nameless = docs.where("doc_id IS NULL").groupBy(_tag(F.col("text")).alias("__own")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return kept.unionByName(nameless.join(alone, F.col("__own") == F.col("__tag"), "left_semi").select("__row.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,16 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+def test_simhash_rows_without_id(spark):
+    """One row of a component stays, one with an id if there is any."""
+    here, alone = prose(40, 21), " ".join(f"word{i * i % 37}" for i in range(40))
+    rows = [(7, here), (3, here), (None, here), (None, here), (None, alone), (None, alone), (None, alone.upper()), (None, None), (None, " "), (5, prose(40, 23))]
+    kept = simhash.keep_first(spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [3, 5]
+    texts = [r.text for r in kept if r.doc_id is None]
+    assert len(texts) == 2 and sum(t in (alone, alone.upper()) for t in texts) == 1 and sum(not (t or "").strip() for t in texts) == 1
+
+
 def test_simhash_links(spark):
     base = np.random.default_rng(3).integers(0, 2**63, 40)
     fps = {int(b) for b in base}
