@@ -1,6 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing over a shared block index.
+"""Substring dedup by grouped hashes of 20-word phrases.
 
-The corpus is its own reference.  Map tasks cut it into *reference blocks* of
+This is not a relative Lempel-Ziv parse: no factor with a source, position and
+length is sought; *factors* below are runs of phrases that occur earlier.  The corpus is its own reference.  Map tasks cut it into *reference blocks* of
 whole documents and index each block's 20-word phrases; the blocks' indexes
 meet, partitioned by an anchor of the phrase, so that a document is parsed
 against every block's index, not only its own.  A document's factors are the
