@@ -4,7 +4,8 @@ Fingerprints that differ in at most three bits agree in at least five of their
 eight bytes.  So they agree in at least four of the first seven.  The index
 has a posting list for each choice of four of those seven positions together
 with the bytes there; pairs meet in a list, the bytes they share at all eight
-positions are tallied, pairs with fewer than five are dropped, and what is
+positions are counted in the join's filter (nothing is tallied over lists, and
+no list is keyed by one byte: it would hold 1 in 256 fingerprints), pairs with fewer than five are dropped, and what is
 left is verified by counting differing bits.  A pair that meets in several
 lists is kept in the first one only.
 
