@@ -10,8 +10,9 @@ depend on its neighbours, a segment that occurs again is not computed again
 needs bounded memory.
 
 It is trained in numpy by backpropagation through time on a bounded sample of
-rows with a language (``SAMPLE`` rows by the hash of doc_id); a row is used
-only if crc32 of its id as text, modulo 3, is not 1.  Inputs are bytes of text alone, ASCII
+rows with a language (``SAMPLE`` rows by the hash of doc_id, in proportion to
+languages but ``LEAST`` of each at least, or all it has); segments are drawn
+from anywhere in a word.  A row is used only if crc32 of its id as text, modulo 3, is not 1.  Inputs are bytes of text alone, ASCII
 case folded.  Weights (a few KB) are broadcast.
 
 Defined results: null text and text without letters is ``und`` with score 0;
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import held, held_out, table, training_row
 
 SAMPLE = 2_000
+#: Rows of a language in the sample at least, as far as it has them.
+LEAST = 50
 #: Training segments drawn from the sample's words.
 DRAWN = 60_000
 SEGMENT = 32
@@ -223,13 +226,24 @@ def _reader(packed: tuple) -> Reader:
 
 
 def sample(docs: DataFrame, bound: int) -> pa.Table:
-    """At most bound rows (text, lang) to learn from, those with the smallest hashes of doc_id."""
+    """Rows (text, lang) to learn from, of each language those with the smallest hashes of doc_id: about bound in all, and LEAST or all that there are of each language."""
     rows = docs.where(training_row() & F.col("lang").isNotNull())
-    n = rows.count()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    n = sum(counts.values())
+    quota = {k: c if n <= bound else min(c, max(LEAST, bound * c // n)) for k, c in counts.items()}
     if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    got = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).toArrow()
-    return got.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).slice(0, bound)
+        # Twice the quota by the hash, cut below, so that no language falls short by chance.
+        limits = [(k, min(1 << 30, (1 << 31) * quota[k] // c)) for k, c in counts.items()]
+        limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, __limit long"))
+        rows = rows.join(limit, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("__limit"))
+    got = rows.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).toArrow()
+    got = got.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    left, taken = dict(quota), []
+    for i, lang in enumerate(got.column("lang").to_pylist()):
+        if left[lang]:
+            left[lang] -= 1
+            taken.append(i)
+    return got.take(pa.array(taken, pa.int64()))
 
 
 def train(texts: list[str | None], langs: list[str]) -> Network | None:
@@ -245,7 +259,9 @@ def train(texts: list[str | None], langs: list[str]) -> Network | None:
         words = (t or "").encode().translate(_FOLD).split()
         if len(words) > share:
             words = [words[i] for i in rng.integers(0, len(words), share)]
-        parts = [s for w in words for s in segment(w)[:4]]
+        parts = [s for w in words for s in segment(w)]
+        if len(parts) > share:
+            parts = [parts[i] for i in rng.integers(0, len(parts), share)]
         each += parts
         of += [labels.index(lang)] * len(parts)
     if each and len(labels) > 1:

@@ -305,6 +305,19 @@ def test_language(spark, docs, none):
     assert language.identify(none).count() == 0
 
 
+def test_language_sample(spark, monkeypatch):
+    """A rare language is in the sample; segments come from anywhere in a word."""
+    rows = [(i, f"text {i}", "xx" if i in (4003, 4007, 4008) else "en", "s", 0) for i in range(5000)]
+    taken = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    got = language.sample(spark.createDataFrame(rows, SCHEMA), 100).column("lang").to_pylist()
+    assert got.count("xx") == len(taken & {4003, 4007, 4008}) > 0 and 90 <= got.count("en") <= 100
+    seen = set()
+    monkeypatch.setattr(language.Network, "train", lambda self, segments, labels: seen.update(segments))
+    word = "".join(f"{chr(0x4E00 + i)}" for i in range(400))
+    language.train([word, "one two"], ["zh", "en"])
+    assert seen >= set(language.segment(word.encode()))
+
+
 def test_language_gradient():
     """Backpropagation through time against finite differences."""
     net = language.Network(["a", "b"], hidden=3)
