@@ -1,24 +1,27 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a segment's bytes in both directions (two GRUs, Cho and
-others, 2014), labels every byte position, and a document's probabilities are
-its positions' log-probabilities averaged over the whole text.  A segment is
-a word with a blank on either side, its state starting anew; longer words are
-cut at ``SEGMENT`` bytes, and digits and marks are read as blanks.  So the labels of a segment's positions do not
-depend on its neighbours, a segment that occurs again is not computed again
-(each worker keeps up to ``CACHED`` segments' sums), and a text of any length
-needs bounded memory.
-
-It is trained in numpy by backpropagation through time on a bounded sample of
-rows with a language (``SAMPLE`` rows by the hash of doc_id, in proportion to
-languages but ``LEAST`` of each at least, or all it has); segments are drawn
-from anywhere in a word.  A row is used only if crc32 of its id as text, modulo 3, is not 1.  Inputs are bytes of text alone, ASCII
-case folded.  Weights (a few KB) are broadcast.
+Two GRUs (Cho and others, 2014) read a text's bytes in both directions and a
+softmax labels every byte position; a document's probabilities are its
+positions' log-probabilities averaged over the whole text.  All bytes are
+read, ASCII case folded, and states run on over blanks and line ends.
+
+Chunks.  So that a text of any length needs bounded memory and chunks of many
+texts fill a batch, a text is cut into cores of ``CORE`` bytes.  The forward
+state of a core starts ``CONTEXT`` bytes before it and the backward state as
+many after it (or where the text does); a text of one core is read exactly.
+
+The network is trained in numpy by backpropagation through time on windows of
+``SEGMENT`` bytes.  They are drawn on the executors, ``DRAWS`` from anywhere in
+each text of a bounded sample: of each language the ``SAMPLE`` rows with the
+smallest hashes, so no text is sent to the driver whole.  A row is used only if
+crc32 of its id as text, modulo 3, is not 1.  Inputs are bytes of text alone.
+Weights (a few KB) are broadcast.
 
 Defined results: null text and text without letters is ``und`` with score 0;
 with no learnable row all is ``und``; rows with a null id are never learned
 from and count as not held out; a corpus of one language predicts it
-everywhere; repeated rows are rows of their own.
+everywhere; repeated rows are rows of their own; an empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,24 +31,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm.common import held, held_out, table, training_row
+from lamina.llm.words import steps, text_buffers
 
-SAMPLE = 2_000
-#: Rows of a language in the sample at least, as far as it has them.
-LEAST = 50
-#: Training segments drawn from the sample's words.
-DRAWN = 60_000
-SEGMENT = 32
+#: Rows of a language to learn from.
+SAMPLE = 600
+#: Training windows of a row, and the bytes of each.
+DRAWS = 16
+SEGMENT = 64
 HIDDEN = 12
-STEPS = 240
-BATCH = 768
+STEPS = 260
+BATCH = 256
 RATE = 0.02
-CACHED = 600_000
+CORE = 192
+CONTEXT = 32
+#: Chunks that are read at once.
+CHUNKS = 1024
 UNKNOWN = "und"
-#: A-Z folded; ASCII digits, marks and controls are read as blanks.
-_FOLD = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b > 127 else 32 for b in range(256))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -145,74 +152,79 @@ class Network:
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def sums(self, segments: list[bytes]) -> np.ndarray:
-        """Sum over a segment's positions of each label's log-probability."""
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        out = np.zeros((len(segments), len(self.labels)))
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            x, n = _padded([segments[i] for i in part])
-            logp, _ = self.logits(x, n)
-            out[part] = np.where((np.arange(x.shape[1]) < n[:, None])[:, :, None], logp, 0).sum(1, dtype=np.float64)
-        return out
-
-
-def segment(word: bytes) -> list[bytes]:
-    """The segments of a word: it and its blanks, cut at SEGMENT bytes."""
-    if len(word) <= SEGMENT - 2:
-        return [b" " + word + b" "]
-    whole = b" " + word + b" "
-    return [whole[i : i + SEGMENT] for i in range(0, len(whole), SEGMENT)]
-
 
 class Reader:
-    """A worker's network with the sums of segments it has met."""
+    """The network for inference: arrays are (units, chunks), so that every step works on long rows."""
 
     def __init__(self, network: Network) -> None:
-        self.network = network
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.sum = np.zeros((1 << 12, len(self.network.labels)))
-        self.positions = np.zeros(1 << 12, np.int64)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = sorted(words)
-        if len(self.at) + len(new) > CACHED:
-            self.clear()
-        parts = [segment(w) for w in new]
-        flat = [s for p in parts for s in p]
-        sums = self.network.sums(flat)
-        first = np.cumsum([0, *map(len, parts)])[:-1]
-        base = len(self.at)
-        need = base + len(new)
-        if need > len(self.sum):
-            grown = np.zeros((max(need, 2 * len(self.sum)), self.sum.shape[1]))
-            grown[:base] = self.sum[:base]
-            self.sum, self.positions = grown, np.concatenate([self.positions, np.zeros(len(grown) - len(self.positions), np.int64)])
-        self.sum[base:need] = np.add.reduceat(sums, first)
-        self.positions[base:need] = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)), first)
-        self.at.update(zip(new, range(base, need)))
-
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log-probability of each label over each text's positions."""
-        out = np.zeros((len(texts), self.sum.shape[1]))
-        for i, t in enumerate(texts):
-            total, n = np.zeros(self.sum.shape[1]), 0
-            words = t.translate(_FOLD).split()
-            for at in range(0, len(words), 1 << 16):
-                part = words[at : at + (1 << 16)]
-                found = list(map(self.at.get, part))
-                if None in found:
-                    self.learn({w for w, k in zip(part, found) if k is None} if len(self.at) + len(part) <= CACHED else set(part))
-                    found = list(map(self.at.__getitem__, part))
-                k = np.array(found, np.int64)
-                total += self.sum[k].sum(0)
-                n += int(self.positions[k].sum())
-            out[i] = total / max(n, 1)
+        h, p = network.hidden, network.p
+        self.h, self.bias = h, p["bias"][:, None]
+        # A sigmoid is (1 + tanh(x / 2)) / 2: the halves of the gates are in the weights.
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)
+        self.x = {d: np.ascontiguousarray((p["x" + d] * half).T) for d in "fb"}
+        self.w = {d: np.ascontiguousarray((p["h" + d] * half).T) for d in "fb"}
+        self.out = {"f": np.ascontiguousarray(p["out"][:h].T), "b": np.ascontiguousarray(p["out"][h:].T)}
+
+    def states(self, x: np.ndarray, start: np.ndarray, d: str) -> np.ndarray:
+        """(steps, units, chunks); a chunk's state is zero before its step start."""
+        h, n = self.h, x.shape[1]
+        s, out = np.zeros((h, n), np.float32), np.empty((len(x), h, n), np.float32)
+        a, b = np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32)
+        g, c = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+        fresh = {int(t): np.flatnonzero(start == t) for t in np.unique(start[start > 0])}
+        for t in range(len(x)):
+            if t in fresh:
+                s[:, fresh[t]] = 0
+            np.take(self.x[d], x[t], axis=1, out=a, mode="clip")
+            np.matmul(self.w[d], s, out=b)
+            np.add(a[: 2 * h], b[: 2 * h], out=g)
+            np.tanh(g, out=g)
+            g += 1
+            g *= 0.5
+            np.multiply(g[:h], b[2 * h :], out=c)
+            c += a[2 * h :]
+            np.tanh(c, out=c)
+            s -= c
+            s *= g[h:]
+            s += c
+            out[t] = s
         return out
 
+    def chunk_sums(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Sums over the cores data[at:to] of each label's log-probability; low and high are the ends of their texts."""
+        width = int((to - at).max())
+        i = np.arange(CONTEXT + width)[:, None]
+        # Core position k is step CONTEXT + k forwards, and CONTEXT + width - 1 - k backwards.
+        f, b = at - CONTEXT + i, at + width - 1 + CONTEXT - i
+        first = np.maximum(low - at + CONTEXT, 0)
+        last = at + width + CONTEXT - np.minimum(high, to + CONTEXT)
+        read = lambda k: data[np.clip(k, 0, len(data) - 1)].astype(np.intp)
+        fs = self.states(read(f), first, "f")[CONTEXT:]
+        bs = self.states(read(b), last, "b")[CONTEXT:][::-1]
+        y = np.matmul(self.out["f"], fs) + np.matmul(self.out["b"], bs) + self.bias
+        y -= y.max(1, keepdims=True)
+        y -= np.log(np.exp(y).sum(1, keepdims=True))
+        y *= (np.arange(width)[:, None] < to - at)[:, None, :]
+        return y.sum(0, dtype=np.float64).T
+
+    def pooled(self, column: pa.Array) -> np.ndarray:
+        """Mean log-probability of each label over each text's positions; 0 for an empty text."""
+        data, offsets = text_buffers(column)
+        out = np.zeros((len(offsets) - 1, len(self.bias)))
+        for x, y in steps(offsets):
+            low, high = offsets[x:y], offsets[x + 1 : y + 1]
+            count = -(-(high - low) // CORE)
+            doc = np.repeat(np.arange(y - x), count)
+            at = low[doc] + CORE * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+            to = np.minimum(at + CORE, high[doc])
+            part, base = _FOLD[data[offsets[x] : offsets[y]]], offsets[x]
+            order = np.argsort(to - at, kind="stable")
+            for k in range(0, len(order), CHUNKS):
+                c = order[k : k + CHUNKS]
+                sums = self.chunk_sums(part, low[doc[c]] - base, high[doc[c]] - base, at[c] - base, to[c] - base)
+                np.add.at(out, x + doc[c], sums)
+        return out / np.maximum(np.diff(offsets), 1)[:, None]
+
 
 def _reader(packed: tuple) -> Reader:
     labels, hidden, arrays = packed
@@ -225,54 +237,52 @@ def _reader(packed: tuple) -> Reader:
     return held(("reader", hash(b"".join(x.tobytes() for x in arrays.values()))), make)
 
 
-def sample(docs: DataFrame, bound: int) -> pa.Table:
-    """Rows (text, lang) to learn from, of each language those with the smallest hashes of doc_id: about bound in all, and LEAST or all that there are of each language."""
-    rows = docs.where(training_row() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    n = sum(counts.values())
-    quota = {k: c if n <= bound else min(c, max(LEAST, bound * c // n)) for k, c in counts.items()}
-    if n > bound:
-        # Twice the quota by the hash, cut below, so that no language falls short by chance.
-        limits = [(k, min(1 << 30, (1 << 31) * quota[k] // c)) for k, c in counts.items()]
-        limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, __limit long"))
-        rows = rows.join(limit, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("__limit"))
-    got = rows.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).toArrow()
-    got = got.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    left, taken = dict(quota), []
-    for i, lang in enumerate(got.column("lang").to_pylist()):
-        if left[lang]:
-            left[lang] -= 1
-            taken.append(i)
-    return got.take(pa.array(taken, pa.int64()))
-
-
-def train(texts: list[str | None], langs: list[str]) -> Network | None:
-    """A network for the languages of langs; None if there are none."""
+def windows(text: bytes, draws: int = DRAWS, size: int = SEGMENT) -> list[bytes]:
+    """Windows from anywhere in a text, the same ones each time; all of a short text."""
+    if len(text) <= size:
+        return [text] if text else []
+    starts = np.random.default_rng(len(text)).integers(0, len(text) - size + 1, draws)
+    return [text[i : i + size] for i in starts.tolist()]
+
+
+def sample(docs: DataFrame, bound: int = SAMPLE) -> pa.Table:
+    """lang and windows of the rows to learn from: of each language those with the smallest hashes of id and text, at most bound."""
+    rows = docs.where(training_row() & F.col("lang").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
+    counts = rows.groupBy("lang").count().collect()  # one row a language
+    if not counts:
+        return pa.table({"lang": pa.array([], pa.string()), "windows": pa.array([], pa.list_(pa.binary()))})
+    # Four times the bound by the hash, so that hardly a language falls short by chance; the rest is cut by rank.
+    limits = [(r["lang"], min(1 << 30, (1 << 32) * bound // r["count"] + (1 << 16))) for r in counts]
+    limit = F.broadcast(docs.sparkSession.createDataFrame(limits, "__lang string, __limit long"))
+    near = rows.join(limit, F.col("lang") == F.col("__lang")).where("h < __limit").select("lang", "h", "text")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [windows(_FOLD[np.frombuffer(t, np.uint8)].tobytes() if t else b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.binary()))], ["lang", "h", "windows"])
+
+    drawn = near.mapInArrow(draw, "lang string, h long, windows array<binary>")
+    ranked = drawn.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "windows"))).where(F.col("n") <= bound)
+    return ranked.select("lang", "h", "windows").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).select(["lang", "windows"])
+
+
+def train(found: list[list[bytes]], langs: list[str]) -> Network | None:
+    """A network for the languages of langs from the windows of each row; None if there are none."""
     labels = sorted(set(langs))
     if not labels:
         return None
-    rng = np.random.default_rng(5)
     net = Network(labels)
-    each, of = [], []
-    share = max(8, DRAWN // len(langs))
-    for t, lang in zip(texts, langs):
-        words = (t or "").encode().translate(_FOLD).split()
-        if len(words) > share:
-            words = [words[i] for i in rng.integers(0, len(words), share)]
-        parts = [s for w in words for s in segment(w)]
-        if len(parts) > share:
-            parts = [parts[i] for i in rng.integers(0, len(parts), share)]
-        each += parts
-        of += [labels.index(lang)] * len(parts)
+    each = [w for ws in found for w in ws]
+    of = np.array([labels.index(lang) for ws, lang in zip(found, langs) for _ in ws], np.int64)
     if each and len(labels) > 1:
-        net.train(each, np.array(of))
+        net.train(each, of)
     return net
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
-    rows = sample(docs, SAMPLE)
-    net = train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    rows = sample(docs)
+    net = train(rows.column("windows").to_pylist(), rows.column("lang").to_pylist())
     sent = docs.sparkSession.sparkContext.broadcast(net and (tuple(net.labels), net.hidden, net.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +291,7 @@ def identify(docs: DataFrame) -> DataFrame:
             said, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
             if sent.value and lettered:
-                mean = _reader(sent.value).pooled([texts[i].encode() for i in lettered])
+                mean = _reader(sent.value).pooled(b.column(2).take(pa.array(lettered)))
                 share = np.exp(mean - mean.max(1, keepdims=True))
                 share /= share.sum(1, keepdims=True)
                 for i, k, p in zip(lettered, share.argmax(1).tolist(), share.max(1).tolist()):
