@@ -7,12 +7,10 @@ QUERIES = {
     "op2_rlz": substring.op2_rlz,
     "op3_quality": quality.op3_quality,
     "op4_licenses": licenses.op4_licenses,
-    "op4_license_windows": licenses.op4_license_windows,
     "op5_language": language.op5_language,
     "op6_tokens": tokens.op6_tokens,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
-    "op8_passes": mixing.op8_passes,
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
 }
