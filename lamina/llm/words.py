@@ -24,6 +24,8 @@ _SOLID[list(BLANKS)] = False
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[list(BLANKS)] = 0
+_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_2[list(BLANKS)] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SEQ = np.uint64(0xD6E8FEB86659FD93)
@@ -70,17 +72,18 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, again: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; again gives another one, independent of the first."""
+        values, base, inverse = (_BYTE_2, _SEQ, _SEQ_INV) if again else (_BYTE, _BASE, _BASE_INV)
         out = np.empty(len(self.start), np.uint64)
         at = 0
         while at < len(out):
             low = int(self.start[at])
             to = max(at + 1, int(np.searchsorted(self.end, low + (1 << 19))))
             n = int(self.end[to - 1]) - low
-            x = _BYTE[self.data[low : low + n]] * powers(_BASE, n)
+            x = values[self.data[low : low + n]] * powers(base, n)
             s = self.start[at:to] - low
-            out[at:to] = np.add.reduceat(x, s) * powers(_BASE_INV, n)[s]
+            out[at:to] = np.add.reduceat(x, s) * powers(inverse, n)[s]
             at = to
         return mix(out + (self.end - self.start).astype(np.uint64))
 
