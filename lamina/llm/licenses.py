@@ -1,34 +1,30 @@
-r"""License scans: lines against notice templates by Dice over word bigrams.
-
-A line is normalised (A-Z folded, every other run than a-z and 0-9 one blank)
-and its distinct word bigrams are compared with each template's:
-``2 * shared / (line + template)``.  At a threshold t the sizes of a match lie
-within a factor t / (2 - t) of each other, so a line is compared only with
-templates within that bound.
-
-Most lines never get that far.  A match shares at least t / 2 of the two
-sizes' sum, hence a fixed least number of the template's own bigrams; so for
-each template a few *pivot* words are worked out, without which no line can
-reach that number, and a text or line that holds no pivot anywhere is dropped
-by one regular expression before it is split into words.  That loses nothing.
-Long words and numbers make good pivots: prose seldom holds them by accident.
-
-Everything is SQL functions; a text is read once and nothing is shuffled.
-
-Windows.  ``scan`` and op4_licenses compare whole lines with one notice a
-licence, as their SQL does.  ``scan_windows`` and op4_license_windows find
-what that leaves out: ``FORMS`` has several notices a licence and licence
-texts, and a match is a run of words anywhere, across line ends or amid other
-words.  Forms are cut into passages of at most ``PASSAGE`` words.  A window has
-at most 1 / bound times the bigrams of its passage and begins and ends with one
-of them (more words at its ends would only lower its Dice), and it holds a
-pivot; so all windows about each pivot are compared, and none elsewhere.  The
-best window about each pivot is kept; of those that overlap the better stays:
-higher Dice, then more shared bigrams, then the smaller name.
-
-Defined results: null and blank texts and lines give no rows; a line that fits
-several templates names the best (ties: the smaller name); repeated rows give
-repeated results; null ids stay null; extra columns are not read.
+r"""License scans: runs of words against licence templates by Dice over word bigrams.
+
+A text is normalised (A-Z folded, every other run than a-z and 0-9 one blank);
+``FORMS`` has several notices a licence and licence texts, cut into passages of
+at most ``PASSAGE`` words.  A *window* is a run of words anywhere, across line
+ends or amid other words, and its distinct word bigrams are compared with a
+passage's: ``2 * shared / (window + passage)``.  At a threshold t the sizes of
+a match lie within a factor t / (2 - t) of each other, so a passage is compared
+only with windows within that bound.
+
+Most texts never get that far.  A match shares at least t / 2 of the two
+sizes' sum, hence a fixed least number of the passage's own bigrams; so for
+each passage a few *pivot* words are worked out, without which no window can
+reach that number, and a text that holds no pivot anywhere is dropped by one
+regular expression before it is split into words.  That loses nothing.  Long
+words and numbers make good pivots: prose seldom holds them by accident.
+
+A window begins and ends with a bigram of its passage (more words at its ends
+would only lower its Dice) and holds a pivot; so all windows about each pivot
+are compared, and none elsewhere.  The best window about each pivot is kept;
+of those that overlap the better stays: higher Dice, then more shared bigrams,
+then the smaller name.  Everything is SQL functions; a text is read once and
+nothing is shuffled.
+
+Defined results: null and blank texts give no rows; repeated rows give
+repeated results; null ids stay null; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -177,38 +173,6 @@ def pivots(templates: dict[str, str], t: float = THRESHOLD) -> list[str]:
     return sorted(chosen)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), license and dice of every line that matches a template."""
-    grams = {k: bigrams(v) for k, v in templates.items()}
-    wanted = pivots(templates, threshold)
-
-    pattern = "(?i)" + "|".join(wanted)
-    lines = docs.where(F.col(text).rlike(pattern)).select(
-        F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
-    )
-    known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, b)).alias("t")) for k, b in sorted(grams.items())])
-    bound = threshold / (2 - threshold)
-
-    # Each step below is bound to a lambda's variable, so that it is worked out once a line and not at every use.
-    def split(line: F.Column) -> F.Column:
-        folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.split(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), " ")
-
-    def pairs(w: F.Column) -> F.Column:
-        firsts = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-        return F.array_distinct(F.transform(firsts, lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2))))
-
-    def best(b: F.Column) -> F.Column:
-        near = F.filter(known, lambda x: (F.size(b) >= F.size(x.t) * bound - 1e-9) & (F.size(x.t) >= F.size(b) * bound - 1e-9))
-        dice = lambda x: 2 * F.size(F.array_intersect(b, x.t)) / (F.size(b) + F.size(x.t))
-        return F.array_min(F.transform(near, lambda x: F.struct((-dice(x)).alias("d"), x.license.alias("license"))))
-
-    words = F.transform(F.array("line"), split)
-    found = F.transform(F.transform(words, pairs), best)
-    rows = lines.where(F.col("line").rlike(pattern)).select("doc_id", "line_no", F.explode(F.filter(found, lambda m: m.d <= -threshold)).alias("best"))
-    return rows.select("doc_id", "line_no", "best.license", (-F.col("best.d")).alias("dice"))
-
-
 def passages(text: str, most: int = PASSAGE) -> list[str]:
     """A form in pieces of nearly equal length, of at most most words."""
     words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
@@ -216,14 +180,19 @@ def passages(text: str, most: int = PASSAGE) -> list[str]:
     return [" ".join(words[len(words) * k // n : len(words) * (k + 1) // n]) for k in range(n)]
 
 
+def _pieces(forms: dict[str, list[str]]) -> dict[tuple[str, int, int], str]:
+    """Passages by licence, form and number."""
+    return {(k, i, j): p for k, v in sorted(forms.items()) for i, form in enumerate(v) for j, p in enumerate(passages(form))}
+
+
 def _let(value: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
     """f of the value, which is worked out once."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def scan_windows(docs: DataFrame, forms: dict[str, list[str]] = FORMS, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, forms: dict[str, list[str]] = FORMS, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no and last_line (from 0), license and dice of every run of words that matches a passage of a form."""
-    pieces = {(k, i, j): p for k, v in sorted(forms.items()) for i, form in enumerate(v) for j, p in enumerate(passages(form))}
+    pieces = _pieces(forms)
     wanted = pivots({str(k): p for k, p in pieces.items()}, threshold)
     bound = threshold / (2 - threshold)
     known = F.array(*[
@@ -287,25 +256,47 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_windows(table(spark, sf_dir, "documents"))
-
-
-def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
-    norm = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-    pairs = "list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
+def oracle(forms: dict[str, list[str]] = FORMS, threshold: float = THRESHOLD) -> str:
+    """The same windows by joins of a text's bigrams with the passages'."""
+    pieces = _pieces(forms)
+    wanted = pivots({str(k): p for k, p in pieces.items()}, threshold)
+    bound = threshold / (2 - threshold)
+    listed = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
+    rows = ", ".join(
+        f"({i}, '{k[0]}', {listed(bigrams(p))}, {listed([w for w in wanted if w in p.split()])}, {int((len(p.split()) - 1) / bound + 1e-9)}, {least_shared(len(bigrams(p)), threshold)})"
+        for i, (k, p) in enumerate(pieces.items())
+    )
+    norm = "regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')"
     return f"""
-WITH templates(license, body) AS (VALUES {rows}),
-t AS (SELECT license, {pairs} AS b FROM (SELECT license, string_split({norm.format('body')}, ' ') AS w FROM templates)),
-l AS (SELECT doc_id, unnest(range(0, len(parts))) AS line_no, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
-d AS (SELECT doc_id, line_no, {pairs} AS b FROM (SELECT doc_id, line_no, string_split({norm.format('line')}, ' ') AS w FROM l)),
-s AS (
-  SELECT doc_id, line_no, license, 2 * len(list_intersect(d.b, t.b))::DOUBLE / (len(d.b) + len(t.b)) AS dice
-  FROM d JOIN t ON len(d.b) BETWEEN 1 AND 100
+WITH passages(p, license, t, pivots, span, least) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS d, doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT d, unnest(range(0, len(parts))) AS line_no, unnest(parts) AS line FROM d),
+lw AS (SELECT d, line_no, list_filter(string_split({norm}, ' '), lambda x: x <> '') AS w FROM l),
+wd AS (SELECT d, line_no, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM lw),
+w AS (SELECT d, line_no, word, row_number() OVER o AS k, lead(word) OVER o AS after FROM wd WINDOW o AS (PARTITION BY d ORDER BY line_no, i)),
+tg AS (SELECT p, unnest(t) AS gram FROM passages),
+pw AS (SELECT p, unnest(pivots) AS word FROM passages),
+about AS (SELECT w.d, pw.p, w.k AS pivot_at FROM w JOIN pw USING (word)),
+g AS (SELECT d, k, word || ' ' || after AS gram FROM w WHERE after IS NOT NULL AND d IN (SELECT d FROM about)),
+doc AS (SELECT d, list(gram ORDER BY k) AS grams FROM g GROUP BY d),
+hit AS (SELECT g.d, tg.p, g.k, g.gram FROM g JOIN tg USING (gram)),
+near AS (SELECT a.d, a.p, a.pivot_at, h.k, h.gram, s.span, s.least FROM about a JOIN passages s USING (p) JOIN hit h ON h.d = a.d AND h.p = a.p AND h.k BETWEEN a.pivot_at - s.span AND a.pivot_at + s.span - 1),
+enough AS (SELECT d, p, pivot_at FROM near GROUP BY d, p, pivot_at HAVING count(DISTINCT gram) >= any_value(least)),
+cand AS (
+  SELECT a.d, a.p, a.pivot_at, a.k AS s, b.k AS e FROM near a JOIN near b ON a.d = b.d AND a.p = b.p AND a.pivot_at = b.pivot_at AND a.k <= a.pivot_at AND b.k >= a.k AND b.k + 1 >= a.pivot_at AND b.k - a.k < a.span
+  SEMI JOIN enough x ON a.d = x.d AND a.p = x.p AND a.pivot_at = x.pivot_at
+), rated AS (
+  SELECT c.*, passages.license, len(list_intersect(list_distinct(grams[s:e]), t)) AS n, len(list_distinct(grams[s:e])) + len(t) AS total FROM cand c JOIN doc USING (d) JOIN passages USING (p)
+), best AS (
+  SELECT d, min(struct_pack(q := -(2 * n)::DOUBLE / total, n := -n, license := license, s := s, e := e)) AS m FROM rated GROUP BY d, p, pivot_at
+), ranked AS (
+  SELECT d, list_sort(list(DISTINCT m)) AS found FROM best WHERE m.q <= -{threshold}::DOUBLE GROUP BY d
+), apart AS (
+  SELECT d, unnest(list_reduce(list_transform(found, lambda m: [m]), lambda kept, y:
+    CASE WHEN len(list_filter(kept, lambda k: k.s <= y[1].e + 1 AND y[1].s <= k.e + 1)) > 0 THEN kept ELSE list_concat(kept, y) END)) AS m FROM ranked
 )
-SELECT doc_id, line_no::INT AS line_no, arg_min(license, (-dice, license)) AS license, max(dice) AS dice
-FROM s WHERE dice >= {threshold}::DOUBLE GROUP BY doc_id, line_no
+SELECT d.doc_id, f.line_no::INT AS line_no, z.line_no::INT AS last_line, m.license AS license, -m.q AS dice
+FROM apart JOIN d USING (d) JOIN w f ON f.d = apart.d AND f.k = m.s JOIN w z ON z.d = apart.d AND z.k = m.e + 1
 """
 
 
