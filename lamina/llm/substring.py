@@ -25,11 +25,11 @@ Scale.  A block sends a phrase once, from its first place; further places have
 their source in the block already and travel as runs of whole factors.  So a
 phrase that a third of the corpus shares is one entry a block.  Neighbouring
 phrases share an anchor (the least hash of their 8-word grams) and travel as
-one run, about 9 bytes a phrase.  The number of partitions of the index
+one run, about 12 bytes a phrase.  The number of partitions of the index
 follows the bytes of text (``BUCKET`` each).  Only factors come back; the text
 is joined to them once.
 
-Phrases are equal if 128 bits of hash are: the 64-bit anchor and 64 bits of
+Phrases are equal if 120 bits of hash are: the 64-bit anchor and 56 bits of
 another hash of all twenty words, over other hashes of words; documents are
 told apart by their id and 64 bits of their text's hash, 128 bits where there
 is no id.
@@ -59,11 +59,17 @@ GRAM = 8
 #: Windows of a reference block.
 BLOCK = 400_000
 #: Bytes of text whose phrases a partition of the index holds.
-BUCKET = 1 << 24
+BUCKET = 1 << 22
+#: Partitions of the index that a task holds one after another.
+TOGETHER = 4
 #: Windows of a run at most: its length shares a byte with the flag of a document with an id.
 RUN = 127
 #: Where a word starts: (with id?, id or hash, hash of the text, word).
 _PLACE = np.dtype([("named", "?"), ("id", "<i8"), ("tag", "<i8"), ("pos", "<u4")])
+#: Bytes of a phrase's hash that travel.
+BYTES = 7
+_HASH = np.dtype((np.uint8, BYTES))
+_KEPT = np.uint64((1 << 8 * BYTES) - 1)
 _NONE = np.empty(0, "<i4")
 
 
@@ -88,7 +94,7 @@ def phrases(column: pa.Array, window: int = WINDOW) -> Iterator[tuple[np.ndarray
             continue
         anchor = _sliding_min(grams(g, gram), window - gram + 1)
         doc = np.searchsorted(words.first, ok, "right") - 1
-        yield at + doc, ok - words.first[doc], anchor[ok], grams(h, window)[ok]
+        yield at + doc, ok - words.first[doc], anchor[ok], grams(h, window)[ok] & _KEPT
 
 
 def _runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +205,7 @@ def _index(docs, doc, pos, anchor, hashed, buckets: int) -> Iterator[dict]:
         at = first[np.repeat(begin[run], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         start = place[first[begin[run]]]
         parts = [
-            start["id"], start["tag"], start["pos"], (n | (start["named"] << 7)).astype("u1"), anchor[first[begin[run]]].astype("<u8"), hashed[at].astype("<u8"),
+            start["id"], start["tag"], start["pos"], (n | (start["named"] << 7)).astype("u1"), anchor[first[begin[run]]].astype("<u8"), hashed[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES],
             place[known[mine]], count[mine].astype("<i4") if len(mine) else _NONE, place[source[known[mine]]],
         ]
         yield {"bucket": b, "payload": np.array([len(run), len(at), len(mine)], "<i8").tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in parts)}
@@ -208,30 +214,47 @@ def _index(docs, doc, pos, anchor, hashed, buckets: int) -> Iterator[dict]:
 def _unpack(payload: bytes) -> list[np.ndarray]:
     runs, windows, own = np.frombuffer(payload, "<i8", 3)
     out, at = [], 24
-    for kind, n in (("<i8", runs), ("<i8", runs), ("<u4", runs), ("u1", runs), ("<u8", runs), ("<u8", windows), (_PLACE, own), ("<i4", own), (_PLACE, own)):
+    for kind, n in (("<i8", runs), ("<i8", runs), ("<u4", runs), ("u1", runs), ("<u8", runs), (_HASH, windows), (_PLACE, own), ("<i4", own), (_PLACE, own)):
         out.append(np.frombuffer(payload, kind, n, at))
         at += out[-1].nbytes
     return out
 
 
+def _longest(place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of pieces that start at the same word of the same document (rows that repeat it) the longest."""
+    order = np.lexsort((-count, place["pos"], place["tag"], place["id"], place["named"]))
+    new = np.ones(len(order), bool)
+    new[1:] = place[order[1:]] != place[order[:-1]]
+    return order[new]
+
+
 def _seek(payloads: list[bytes], blocks: list[int]) -> Iterator[pa.RecordBatch]:
     """Pieces of factors of all phrases of a bucket: runs of phrases with a source, the source going on alike."""
     found = [_unpack(p) for p in payloads]
-    for x, b in zip(found, blocks):
-        if len(x[6]):
-            yield _factors(x[6], x[7], x[8], np.full(len(x[6]), b))
-    ids, tags, pos, packed, anchor, hashed = (np.concatenate([x[i] for x in found]) for i in range(6))
+    place, count, of = (np.concatenate([x[i] for x in found]) for i in (6, 7, 8))
+    if len(place):
+        one = _longest(place, count)
+        yield _factors(place[one], count[one], of[one], np.repeat(np.array(blocks, np.int64), [len(x[6]) for x in found])[one])
+    ids, tags, pos, packed, anchor, short = (np.concatenate([x[i] for x in found]) for i in range(6))
     if not len(ids):
         return
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :BYTES] = short
+    hashed = wide.view("<u8")[:, 0]
     block = np.repeat(np.array(blocks, np.int64), [len(x[0]) for x in found])
+    del found, short
     named, length = packed > 127, (packed & 127).astype(np.int64)
     run = np.repeat(np.arange(len(ids)), length)
     at = pos[run].astype(np.int64) + np.arange(len(run)) - np.repeat(np.cumsum(length) - length, length)
     rank = _ranked(named, ids, tags)
-    source = _sources([hashed, anchor[run]], (rank[run] << 32) | at)
-    hit = np.flatnonzero((rank[run[source]] != rank[run]) | (at[source] != at))
+    spot = (rank[run] << 32) | at
+    source = _sources([hashed, anchor[run]], spot)
+    hit = np.flatnonzero(spot[source] != spot)
+    # Rows that repeat a document send its phrases from several blocks: each counts once.
+    _, once = np.unique(spot[hit], return_index=True)
+    hit = hit[once]
     if len(hit):
-        begin, size = _runs(_chained(run[hit], at[hit], run[source[hit]], at[source[hit]]))
+        begin, size = _runs(_chained(rank[run[hit]], at[hit], run[source[hit]], at[source[hit]]))
         one = hit[begin]
         place, of = np.empty(len(one), _PLACE), np.empty(len(one), _PLACE)
         for out, item in ((place, one), (of, source[one])):
@@ -251,7 +274,7 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Runs of count phrases from word start of a document on, and where their source starts; see _FACTOR_SQL."""
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET))
+    buckets = max(TOGETHER * partitions(docs.sparkSession), -(-size // BUCKET))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("no cache", object)
@@ -280,7 +303,8 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", windo
         return pa.Table.from_batches(got or [_factors(none, _NONE, none, np.empty(0, np.int64))])
 
     taken = _keyed(docs, id_column, text).select("__named", "__id", "__tag", F.col(text).alias("text"))
-    return taken.mapInArrow(indexed, "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(seek, _FACTOR_SQL)
+    index = taken.mapInArrow(indexed, "bucket int, block long, payload binary").repartition(-(-buckets // TOGETHER), "bucket")
+    return index.groupBy("bucket").applyInArrow(seek, _FACTOR_SQL)
 
 
 def parse(found: list[dict], window: int) -> list[tuple[int, int, tuple, int]]:
@@ -293,7 +317,7 @@ def parse(found: list[dict], window: int) -> list[tuple[int, int, tuple, int]]:
     out: list[tuple[int, int, tuple, int]] = []
     done = 0
     merged: list[list] = []
-    for p in sorted(found, key=lambda p: p["start"]):
+    for p in sorted(found, key=lambda p: (p["start"], -p["count"])):
         source = (p["block"], p["from_named"], p["from_id"], p["from_tag"])
         if merged and merged[-1][2][1:] == source[1:] and merged[-1][0] + merged[-1][1] == p["start"] and merged[-1][3] + merged[-1][1] == p["from_start"]:
             merged[-1][1] += p["count"]
@@ -324,9 +348,7 @@ _FOUND = ("start", "count", "from_named", "from_id", "from_tag", "from_start", "
 
 
 def _with_pieces(docs: DataFrame, id_column: str, text: str, window: int) -> DataFrame:
-    # Rows that repeat an id and its text find the same pieces: each counts once, from one of the blocks.
-    once = pieces(docs, id_column, text, window).groupBy(*[c for c in _FACTOR_NAMES if c != "block"]).agg(F.min("block").alias("block"))
-    found = once.groupBy("__named", "__id", "__tag").agg(F.collect_list(F.struct(*_FOUND)).alias("__found"))
+    found = pieces(docs, id_column, text, window).groupBy("__named", "__id", "__tag").agg(F.collect_list(F.struct(*_FOUND)).alias("__found"))
     return _keyed(docs, id_column, text).join(found, ["__named", "__id", "__tag"], "left").select(*docs.columns, "__found")
 
 
