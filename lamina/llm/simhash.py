@@ -3,16 +3,20 @@
 Fingerprints that differ in at most three bits agree in at least five of their
 eight bytes.  So they agree in at least four of the first seven.  The index
 has a posting list for each choice of four of those seven positions together
-with the bytes there; pairs meet in a list, the bytes they share at all eight
-positions are counted in the join's filter (nothing is tallied over lists, and
-no list is keyed by one byte: it would hold 1 in 256 fingerprints), pairs with fewer than five are dropped, and what is
-left is verified by counting differing bits.  A pair that meets in several
-lists is kept in the first one only.
+with the bytes there (no list is keyed by one byte: it would hold 1 in 256
+fingerprints).  Lists with one member go.  Pairs meet in their lists and are
+tallied over them: two fingerprints that share m of the seven positional bytes
+meet in C(m, 4) lists, so the number of lists tells m.  Pairs whose tally, with
+the eighth byte, is below five are dropped, and what is left is verified by
+counting differing bits.
 
 A list holds *distinct* fingerprints, so copies never multiply, and 32 fixed
-bits select it, so lists stay short as the corpus grows.  A fingerprint has at
-most 43,744 others within three bits, hence links grow with the input and
-never with its square; a long list is a skewed join that Spark splits.
+bits select it: n fingerprints without structure meet in about 35 n^2 / 2^33
+pairs, which is below one for each fingerprint up to n = 2.4e8 and below 20
+for each up to n = 4.9e9; beyond that the lists want a fifth position.  The
+index is shuffled once; only lists with two members or more are written and
+joined to themselves, where Spark splits a long one.  Links of a fingerprint
+are bounded by the 43,744 others within three bits.
 
 Defined results: null or blank text has fingerprint zero and links like any
 other; rows with a null id get the component of their fingerprint (null if no
@@ -25,11 +29,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm.common import checkpoint, table
@@ -90,25 +96,15 @@ def links(fps: DataFrame) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), k))
         keys.append(key)
     index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    left, right = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
+    lists = checkpoint(index.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n"))
+    meet = lists.withColumnRenamed("fp", "a").join(lists.withColumnRenamed("fp", "b"), "key").where("a < b")
+    tally = meet.groupBy("a", "b").agg(F.count("*").alias("lists"))
     other = F.col("a").bitwiseXOR(F.col("b"))
-    shared = [(_byte(other, k) == 0).cast("int") for k in range(8)]
-    tally = shared[0]
-    for x in shared[1:]:
-        tally = tally + x
-    # The first list that holds both has the first four positions of the seven where they agree.
-    mine = F.lit(False)
-    for i, choice in enumerate(CHOICES):
-        agree = [_byte(other, k) == 0 if k in choice else _byte(other, k) != 0 for k in range(choice[-1] + 1)]
-        first = agree[0]
-        for x in agree[1:]:
-            first = first & x
-        mine = mine | ((F.shiftrightunsigned(F.col("key"), 32) == i) & first)
-    return (
-        left.join(right, "key")
-        .where((F.col("a") < F.col("b")) & (tally >= MIN_BYTES) & (F.bit_count(other) <= MAX_BITS) & mine)
-        .select("a", "b")
-    )
+    shared = F.lit(0)
+    for m in range(MIN_BYTES - 1, 8):
+        shared = F.when(F.col("lists") == comb(m, MIN_BYTES - 1), m).otherwise(shared)
+    enough = shared + (_byte(other, 7) == 0).cast("int") >= MIN_BYTES
+    return tally.where(enough).where(F.bit_count(other) <= MAX_BITS).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:
