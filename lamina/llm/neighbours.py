@@ -4,14 +4,19 @@ Trees split a bounded sample (``SAMPLE`` vectors by the hash of vec_id) by
 random hyperplanes at the median; every row is then routed to a leaf of every
 tree.  A query orders the leaves of *all* trees in one shared priority queue,
 by the least margin on the path to a leaf (how far the query would have to
-move to fall there), and takes leaves until they hold ``SEARCH`` times as many
-rows as there are.  Rows of those leaves are candidates and are ranked by the
-exact cosine in double precision.
-
-How much must be searched depends on the data.  Vectors without structure
-(the test tables: independent normals, 64 dimensions, fifth neighbour at
-cosine 0.42) need most rows for a recall of 0.9, whatever the index; clustered
-ones need a few leaves, and ``search`` can be lowered for them.
+move to fall there), and takes leaves until they hold a *share* of the rows.
+Rows of those leaves are candidates and are ranked by the exact cosine in
+double precision.
+
+The share is found for the data at hand.  Some vectors of the sample
+(``PROBES``) are asked for their exact nearest neighbours in the sample, and
+the share is the least at which ``AIM`` of those neighbours lie in the leaves
+searched.  Vectors without structure (the test tables: independent normals, 64
+dimensions, fifth neighbour at cosine 0.42) need most rows for that, whatever
+the index; clustered ones need a few leaves.  In a whole table neighbours are
+nearer than in its sample, so recall is above the aim rather than below.
+Vectors of each length have a forest of their own, as no cosine is defined
+between lengths.
 
 Scale.  Copies of a vector are one candidate with its smallest ids (only
 ``k + 1`` of them can be a result) and one query, so a vector that a third of
@@ -20,8 +25,8 @@ query set into blocks of ``QUERIES``; a task holds one of each.  What is
 broadcast is the forest and its leaf sizes: at most ``TREES * 2**DEPTH`` cells.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do vectors of another length than most of the
-sample, nor rows with a null id; a repeated id counts once per distinct
+components take no part, nor do rows with a null id; vectors of another length
+are no candidates of a query; a repeated id counts once per distinct
 vector; an empty table gives no rows; extra columns are not read.
 """
 
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +45,15 @@ from pyspark.sql import functions as F
 from lamina.llm.common import checkpoint, table
 
 TREES = 4
-SEARCH = 1.25
+#: Share of the probes' neighbours that the search must reach, and the number of probes.
+AIM = 0.96
+PROBES = 400
 SAMPLE = 16_384
 LEAF = 1024
 DEPTH = 10
 ROWS = 8192
 QUERIES = 8192
 NEIGHBOURS = 5
-#: Rows a tree that a query searches at least.
-LEAST = 64
 EVERY = 50
 
 
@@ -143,34 +149,58 @@ def _rank(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(qid, pa.int64()), pa.array(rows, schema.field("rid").type), pa.array(scores, schema.field("score").type)], schema=schema)
 
 
-def fit_forest(vectors: DataFrame, n: int, trees: int, leaf: int) -> Forest | None:
-    """A forest over at most SAMPLE vectors, deep enough for leaves of about leaf rows."""
+def needed_share(forest: Forest, sample: np.ndarray, k: int) -> float:
+    """The least share of rows, counted once a tree, in whose leaves AIM of the probes' k nearest lie."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    leaves = forest.route(sample)
+    sizes = np.bincount(leaves.ravel(), minlength=len(forest.cut) * forest.leaves)
+    need = []
+    for at in range(0, min(PROBES, len(unit)), 64):
+        probe = np.arange(at, min(at + 64, PROBES, len(unit)))
+        near = unit[probe] @ unit.T
+        near[np.arange(len(probe)), probe] = -np.inf
+        best = np.argpartition(-near, min(k, len(unit) - 1) - 1, axis=1)[:, : min(k, len(unit) - 1)] if len(unit) > 1 else np.zeros((len(probe), 0), np.int64)
+        order = np.argsort(-forest.margins(sample[probe]), axis=1, kind="stable")
+        before = np.empty(order.shape)
+        np.put_along_axis(before, order, np.cumsum(sizes[order], 1) - sizes[order], 1)
+        # A row is met in the first leaf that holds it, of any tree.
+        need.append(np.take_along_axis(before[:, None, :], leaves.T[best], 2).min(2).ravel())
+    every = np.concatenate(need) / len(unit)
+    return float(np.quantile(every, AIM, method="higher")) + 1e-9 if len(every) else 1.0
+
+
+def fit_forest(vectors: DataFrame, n: int, trees: int, leaf: int, k: int) -> tuple[Forest, float]:
+    """A forest over at most SAMPLE vectors, deep enough for leaves of about leaf rows, and the share of rows to search."""
     if n > SAMPLE:
         vectors = vectors.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
     rows = vectors.select("v", F.xxhash64("rid").alias("h")).toArrow().sort_by([("h", "ascending"), ("v", "ascending")]).slice(0, SAMPLE).column("v").to_pylist()
-    if not rows:
-        return None
-    sizes = [len(v) for v in rows]
-    size = max(sorted(set(sizes)), key=sizes.count)
     depth = min(DEPTH, max(1, math.ceil(math.log2(max(2, n / leaf)))))
-    return Forest(_matrix([v for v in rows if len(v) == size]), trees, depth)
+    sample = _matrix(rows)
+    forest = Forest(sample, trees, depth)
+    return forest, needed_share(forest, sample, k)
 
 
-def search(vectors: DataFrame, wanted: F.Column, k: int = NEIGHBOURS, trees: int = TREES, share: float = SEARCH, leaf: int = LEAF) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of every wanted row of (vec_id, v)."""
-    spark = vectors.sparkSession
+def search(vectors: DataFrame, wanted: F.Column, k: int = NEIGHBOURS, trees: int = TREES, share: float | None = None, leaf: int = LEAF) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest found of every wanted row of (vec_id, v); share None finds the share of rows to search."""
     rows = checkpoint(vectors.dropDuplicates(["vec_id", "v"]))
+    lengths = [r[0] for r in rows.select(F.octet_length("v")).distinct().collect()]  # one row a length of vectors
+    found = [_search(rows.where(F.octet_length("v") == x), wanted, k, trees, share, leaf) for x in sorted(lengths)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(rows: DataFrame, wanted: F.Column, k: int, trees: int, share: float | None, leaf: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
     few = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     copies = checkpoint(few.groupBy("v").agg(F.min("vec_id").alias("rid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = copies.count()
     asked = rows.where(wanted)
     queries = checkpoint(asked.groupBy("v").agg(F.min("vec_id").alias("qid")))
-    forest = fit_forest(copies, n, trees, leaf)
-    if forest is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    forest, enough = fit_forest(copies, n, trees, leaf, k)
+    share = enough if share is None else share
     sent = spark.sparkContext.broadcast(forest)
-    width = 8 * forest.normal.shape[2]
-    whole = F.octet_length("v") == width
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,14 +209,14 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = NEIGHBOURS, trees: int
                 for x in leaves:
                     yield pa.RecordBatch.from_arrays([pa.array(x), b.column(0), b.column(1)], ["bucket", "rid", "v"])
 
-    indexed = checkpoint(copies.where(whole).select("rid", "v").mapInArrow(index, "bucket long, rid long, v binary"))
+    indexed = checkpoint(copies.select("rid", "v").mapInArrow(index, "bucket long, rid long, v binary"))
     sizes = np.zeros(trees * forest.leaves, np.int64)
     for bucket, count in indexed.groupBy("bucket").count().collect():  # one row a leaf: bounded by the forest
         sizes[bucket] = count
     blocks = -(-sizes // ROWS)
     n_queries = queries.count()
     parts = max(1, math.ceil(n_queries / QUERIES))
-    plan = spark.sparkContext.broadcast((sizes, blocks, max(share * n, trees * LEAST)))
+    plan = spark.sparkContext.broadcast((sizes, blocks, share * n))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, cut, budget = plan.value
@@ -195,7 +225,7 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = NEIGHBOURS, trees: int
                 v = b.column(1).slice(at, 256)
                 order = np.argsort(-sent.value.margins(_matrix(v.to_pylist())), axis=1, kind="stable")
                 before = np.cumsum(size[order], 1) - size[order]
-                i, j = np.nonzero((before < budget) & (size[order] > 0))
+                i, j = np.nonzero((before <= budget) & (size[order] > 0))
                 bucket = order[i, j]
                 times = cut[bucket]
                 block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -204,7 +234,7 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = NEIGHBOURS, trees: int
 
     cut = F.element_at(F.lit(blocks.tolist()).cast("array<long>"), (F.col("bucket") + 1).cast("int")) if blocks.max() > 1 else F.lit(1)
     left = indexed.select("bucket", F.pmod(F.xxhash64("rid"), cut).cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rid", "v")
-    right = queries.where(whole).select("qid", "v").mapInArrow(visit, "bucket long, block long, qid long, v binary")
+    right = queries.select("qid", "v").mapInArrow(visit, "bucket long, block long, qid long, v binary")
     right = right.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
     keys = ("bucket", "block", "part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _rank(a, b, k + 1), "qid long, rid array<long>, score array<double>")
