@@ -1,23 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon transducer maps each word to symbols: insult stems (a prefix trie),
-threat verbs, intent, targets, negators, reporting verbs, quotes and clause
-ends.  Five small machines read the symbols of a clause: insult (emits a
-stem's weight), threat (intent, verb, target in that order), target (raises an
-insult in a clause that addresses someone), negation (``not ... stupid``
-within three words emits almost nothing) and reported speech (``she said that
-...`` emits a part).  They are composed into one transducer, whose product
-states are made when first met and then kept; a clause's weight is what the
-composed machine emits, never that of a word by itself.
+threat verbs, intent, targets, objects, negators, reporting verbs, quotes and
+clause ends, in English, German, French and Spanish; elided words (``t'``,
+``i'll``, ``matarte``) give the symbols of their parts.  Five small machines
+read the symbols of a clause: insult (emits a stem's weight), threat (intent,
+then a violent verb, with a target after the verb or an object pronoun before
+it), target (raises an insult in a clause that addresses someone), negation
+(``not ... stupid`` within three words emits almost nothing) and reported
+speech (``she said that ...`` emits a part).  They are composed into one
+transducer, whose product states are made when first met and then kept; a
+clause's weight is what the composed machine emits, never that of a word by
+itself.
 
 The insult stems are learned from labelled rows: whole words and word
 beginnings of four to seven letters that toxic documents hold far more often
 than others (log-likelihood ratio of document counts at least ``EVIDENCE``),
-at most ``STEMS`` of them; of nested ones the strongest stays.  So it is not
-tied to a language.  A short seed lexicon serves where nothing is labelled.
-A logistic function of a document's clause weights, fitted on the same bounded
-sample (``SAMPLE`` labelled rows by the hash of doc_id; only rows whose crc32
-of the id as text, modulo 3, is not 1), gives the score.
+at most ``STEMS`` of them; of nested ones the strongest stays.  So they are
+not tied to a language.  A short seed lexicon serves where nothing is
+labelled.  A logistic function of a document's clause weights, fitted on the
+same bounded sample (``SAMPLE`` labelled ids by hash; only ids whose crc32 as
+text, modulo 3, is not 1), gives the score.  The sample's texts stay on the
+executors: counts of stems and three numbers a document come to the driver.
 
 Defined results: null and blank text is scored like any text without matches;
 rows with a null id count as not held out and are never learned from; a
@@ -37,33 +41,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held, held_out, table, training_row
+from lamina.llm.common import checkpoint, held, held_out, table, training_row
 
 SAMPLE = 8_000
 STEMS = 160
 EVIDENCE = 24.0
 REJECT = 0.7
 CACHED = 200_000
-OTHER, END, TARGET, NEGATOR, REPORT, QUOTE, SELF, INTENT, THREAT, STEM = range(10)
+#: Entries that a task's counts of stems hold before they are sent.
+COUNTED = 200_000
+OTHER, END, TARGET, OBJECT, NEGATOR, REPORT, QUOTE, SELF, INTENT, THREAT, STEM = range(11)
 SEED = "idiot moron stupid worthless scum loser pathetic disgusting imbecile".split()
 SEED_WEIGHT = 6.0
 CLASSES = {
-    TARGET: "you your yours yourself u thou du dich dir ihr euch tu te toi vous tú vosotros usted ustedes".split(),
-    NEGATOR: "not never no isn't aren't wasn't weren't don't doesn't hardly nicht kein keine pas jamais nunca jamás".split(),
-    REPORT: "said says say called calls wrote writes claimed claims quoted told reported sagte dit dijo".split(),
+    TARGET: "you your yours yourself u thou du dir ihr toi vous tú vosotros usted ustedes".split(),
+    OBJECT: "dich euch te os".split(),
+    NEGATOR: "not never no isn't aren't wasn't weren't don't doesn't hardly nicht nie kein keine keinen ne pas jamais nunca jamás".split(),
+    REPORT: "said says say called calls wrote writes claimed claims quoted told reported sagte sagt schrieb behauptete meinte nannte rief "
+            "dit disait écrit écrivait prétend affirme dijo dice decía escribió afirma llamó".split(),
     QUOTE: "that dass daß que".split(),
-    SELF: "i we i'll we'll i'm we're".split(),
-    INTENT: "will shall going gonna must would".split(),
-    THREAT: "kill hurt destroy murder stab shoot beat strangle burn".split(),
-}
+    SELF: "i we ich wir je nous yo nosotros".split(),
+    INTENT: "will shall going gonna must would werde werden muss vais allons veux voy vamos quiero".split(),
+    THREAT: "kill hurt destroy murder stab shoot beat strangle burn töten umbringen schlagen verletzen verprügeln erschießen erstechen verbrennen "
+            "tuer frapper détruire étrangler brûler poignarder matar golpear destruir estrangular quemar apuñalar".split(),
+}
 WORDS = {w: bytes([k]) for k, ws in CLASSES.items() for w in ws}
+WORDS |= {w: bytes([SELF, INTENT]) for w in ("i'll", "we'll")} | {w: bytes([SELF]) for w in ("i'm", "we're")}
+WORDS |= {w + "te": bytes([THREAT, OBJECT]) for w in ("matar", "golpear", "destruir", "estrangular", "quemar", "apuñalar")}
+#: Words that lose their vowel before another one.
+ELIDED = {"t'": OBJECT, "j'": SELF, "n'": NEGATOR, "qu'": QUOTE}
 THREAT_WEIGHT = 8.0
 _WORD = re.compile(r"[\w'’]+")
 _ENDS = (b".", b"!", b"?", b";", b":")
 
 
 def _tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.lower().replace("’", "'"))
 
 
 class Insult:
@@ -76,18 +89,20 @@ class Insult:
 
 
 class Threat:
-    """Someone's intent, a violent verb, a target: in that order within a clause."""
+    """Intent, then a violent verb, and its target: after the verb, or an object pronoun before it, within a clause."""
 
     start = 0
+    #: What of it has been read, as bits.
+    intent, verb, object = 1, 2, 4
 
     def step(self, state: int, symbol: int, weight: float) -> tuple[int, float]:
-        if symbol in (SELF, INTENT):
-            return max(state, 1 if symbol == SELF else 2), 0.0
-        if symbol == THREAT:
-            return (3 if state == 2 else state), 0.0
-        if symbol == TARGET and state == 3:
+        if symbol == INTENT:
+            return state | self.intent, 0.0
+        if symbol == THREAT and state & self.intent:
+            return (0, THREAT_WEIGHT) if state & self.object else (state | self.verb, 0.0)
+        if symbol in (TARGET, OBJECT) and state & self.verb:
             return 0, THREAT_WEIGHT
-        return state, 0.0
+        return (state | self.object if symbol == OBJECT else state), 0.0
 
 
 class Target:
@@ -96,12 +111,12 @@ class Target:
     start = 0
 
     def step(self, state: int, symbol: int, weight: float) -> tuple[int, float]:
-        state = 1 if symbol == TARGET else state
+        state = 1 if symbol in (TARGET, OBJECT) else state
         return state, 1.25 if state else 1.0
 
 
 class Negation:
-    """Factor next to a negator: the word after it counts little, and up to two further on in an addressed clause."""
+    """Factor of the three symbols after a negator."""
 
     start = 0
 
@@ -112,12 +127,12 @@ class Negation:
 
 
 class Reported:
-    """Factor after a reporting verb and its conjunction."""
+    """Factor after a reporting verb and its conjunction, to the clause's end."""
 
     start = 0
 
     def step(self, state: int, symbol: int, weight: float) -> tuple[int, float]:
-        if symbol == REPORT:
+        if symbol == REPORT and state == 0:
             return 1, 1.0
         if symbol == QUOTE and state == 1:
             return 2, 1.0
@@ -140,20 +155,23 @@ class Grammar:
         self.matched = re.compile(b"[" + bytes([THREAT]) + b"-\xff]")
         self.cache: dict[bytes, bytes] = {}
 
-    def symbol(self, token: str) -> int:
-        """The lexicon transducer: a word's class, its longest stem, or other."""
+    def symbol(self, token: str) -> bytes:
+        """The lexicon transducer: a word's class or classes, its longest stem, or other."""
         if token in WORDS:
-            return WORDS[token][0]
+            return WORDS[token]
         if token in self.whole:
-            return self.code[token]
+            return bytes([self.code[token]])
         for n in self.sizes:
             if token[:n] in self.stems and len(token) >= n:
-                return self.code[token[:n]]
-        return OTHER
+                return bytes([self.code[token[:n]]])
+        cut = token.find("'") + 1
+        if 0 < cut < len(token) and token[:cut] in ELIDED:
+            return bytes([ELIDED[token[:cut]]]) + self.symbol(token[cut:])
+        return bytes([OTHER])
 
     def symbols(self, word: bytes) -> bytes:
         """Symbols of a blank-delimited word, kept for its next occurrence."""
-        out = bytes(self.symbol(t) for t in _tokens(word.decode("utf8", "replace"))) or bytes([OTHER])
+        out = b"".join(self.symbol(t) for t in _tokens(word.decode("utf8", "replace"))) or bytes([OTHER])
         if word.rstrip(b"\"')").endswith(_ENDS):
             out += bytes([END])
         if len(word) <= 64:
@@ -214,33 +232,55 @@ def _llr(a: int, b: int, n: int, m: int) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p)) if 0 < p < 1 else 0.0
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of stems and of whole words, learned from labelled texts."""
-    n, m = int(toxic.sum()), int((~toxic).sum())
+def stem_counts(rows: DataFrame) -> DataFrame:
+    """feature, and by label the documents with it and its uses, over rows of (text, toxic); the feature '' has the totals."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, bool], list[int]] = {}
+
+        def sent() -> pa.RecordBatch:
+            parts = ([f for f, _ in seen], [b for _, b in seen], [n for n, _ in seen.values()], [n for _, n in seen.values()])
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(parts, kinds)], ["feature", "bad", "docs", "uses"])
+
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = Counter(w for w in _tokens(text or "") if w not in WORDS)
+                found: Counter = Counter({"": sum(words.values())})
+                for w, k in words.items():
+                    found[w + "$"] += k
+                    for size in range(4, min(8, len(w) + 1)):
+                        found[w[:size]] += k
+                for f, k in found.items():
+                    held = seen.setdefault((f, toxic == 1), [0, 0])
+                    held[0] += 1
+                    held[1] += k
+                if len(seen) > COUNTED:
+                    yield sent()
+                    seen.clear()
+        yield sent()
+
+    each = rows.select("text", "toxic").mapInArrow(count, "feature string, bad boolean, docs long, uses long")
+    part = lambda c, bad: F.coalesce(F.sum(F.when(F.col("bad") == bad, F.col(c))), F.lit(0)).alias(f"{c}_{'foul' if bad else 'clean'}")
+    return each.groupBy("feature").agg(*[part(c, bad) for c in ("docs", "uses") for bad in (True, False)])
+
+
+def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], bool]:
+    """Weights of stems and of whole words, learned from rows of (text, toxic); whether both labels occur."""
+    found = {r["feature"]: r for r in stem_counts(rows).where("docs_foul >= 3 OR feature = ''").collect()}
+    total = found.pop("", None)
+    n, m = (total["docs_foul"], total["docs_clean"]) if total else (0, 0)
     if not n or not m:
-        return {}, dict.fromkeys(SEED, SEED_WEIGHT)
-    docs: tuple[Counter, Counter] = (Counter(), Counter())
-    uses: tuple[Counter, Counter] = (Counter(), Counter())
-    total = [0, 0]
-    for text, bad in zip(texts, toxic.tolist()):
-        words = Counter(w for w in _tokens(text) if w not in WORDS)
-        found: Counter = Counter()
-        for w, k in words.items():
-            found[w + "$"] += k
-            for size in range(4, min(8, len(w) + 1)):
-                found[w[:size]] += k
-        docs[bad].update(found.keys())
-        uses[bad].update(found)
-        total[bad] += sum(words.values())
-    rows = []
-    for f, a in docs[True].items():
-        b = docs[False][f]
-        if a >= 3 and a / n > 4 * b / m and (g := _llr(a, b, n, m)) >= EVIDENCE:
-            clean, foul = (uses[False][f] + 0.5) / total[0], (uses[True][f] + 0.5) / total[1]
+        return {}, dict.fromkeys(SEED, SEED_WEIGHT), False
+    ranked = []
+    for f, r in found.items():
+        a, b = r["docs_foul"], r["docs_clean"]
+        if a / n > 4 * b / m and (g := _llr(a, b, n, m)) >= EVIDENCE:
+            clean, foul = (r["uses_clean"] + 0.5) / max(1, total["uses_clean"]), (r["uses_foul"] + 0.5) / max(1, total["uses_foul"])
             if foul > 2 * clean:
-                rows.append((-g, f, math.log(foul / clean)))
+                ranked.append((-g, f, math.log(foul / clean)))
     stems, whole, taken = {}, {}, []
-    for _, f, w in sorted(rows):
+    for _, f, w in sorted(ranked):
         bare = f.rstrip("$")
         if any(bare.startswith(x) or x.startswith(bare) for x in taken):
             continue
@@ -251,7 +291,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, float]
     for w in SEED:
         if not any(w.startswith(x) for x in taken):
             whole.setdefault(w, SEED_WEIGHT / 2)
-    return stems, whole
+    return stems, whole, True
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -264,31 +304,36 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int) -> pa.Table:
-    """At most bound labelled rows (text, toxic) to learn from, those with the smallest hashes of doc_id."""
-    known = labels.where(training_row() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """Rows (text, toxic, h) of about bound labelled ids to learn from, those with the smallest hashes; written, as they are read twice."""
+    known = labels.where(training_row() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > bound:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    got = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h")).toArrow()
-    return got.sort_by([("h", "ascending"), ("text", "ascending")]).slice(0, bound)
-
-
-def train(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
-    """Stems, whole words and logistic weights."""
-    given, bad = [t or "" for t in texts], np.array(toxic, int) == 1
-    stems, whole = learn_lexicon(given, bad)
-    g = Grammar(stems, whole)
-    if not 0 < bad.sum() < len(bad):
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    return checkpoint(rows.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")))
+
+
+def train(rows: DataFrame, bound: int) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
+    """Stems, whole words and logistic weights from rows of (text, toxic, h); the weights from the measures of at most 2 x bound rows."""
+    stems, whole, both = learn_lexicon(rows)
+    if not both:
         return stems, whole, np.array([0.0, 2.5, 0.0, 0.0, -2.2])
-    return stems, whole, fit(_explain([g.measure(t.encode()) for t in given]), bad.astype(float))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Grammar(stems, whole)
+        for b in batches:
+            total, n, words = zip(*map(g.measure, b.column(0).cast(pa.binary()).to_pylist())) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), pa.array(n, pa.int64()), pa.array(words, pa.int64()), b.column(1).cast(pa.int32()), b.column(2)], ["total", "n", "words", "toxic", "h"])
+
+    found = rows.mapInArrow(measure, "total double, n long, words long, toxic int, h long").orderBy("h", "total", "words").limit(2 * bound).collect()
+    bad = np.array([r["toxic"] == 1 for r in found])
+    return stems, whole, fit(_explain([(r["total"], r["n"], r["words"]) for r in found]), bad.astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All columns of docs, with held_out, score and predicted."""
-    rows = sample(docs, labels, SAMPLE)
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, SAMPLE), SAMPLE))
     rest = docs.drop("held_out", "score", "predicted")
     names = rest.columns
     where = names.index("text")
