@@ -6,12 +6,16 @@ new word.  A document is its ids and one id 0; one longer than a sequence is
 cut into full pieces and a last one.  Full pieces are sequences of their own.
 
 The others are dealt into shards of about ``SHARD`` pieces, and each shard is
-evolved on ``ISLANDS`` islands.  A chromosome is a set of bins.  Crossover
-injects some of the other parent's well-filled bins whole, removes the bins
-that hold any of their pieces a second time, and puts the displaced pieces
-back by best fit, longest first.  After an epoch each island's elite migrates
-to the next island (a ring), evolves on there, and the shard's best packing
-wins.  An island stops at the lower bound, which no packing can beat.
+evolved on ``ISLANDS`` islands (a grouping genetic algorithm: Falkenauer,
+1996).  A chromosome is a set of bins.  Crossover injects some of the other
+parent's well-filled bins whole and removes the bins that hold any of their
+pieces a second time; displaced pieces first take the place of shorter ones
+where that fills a bin better, and the rest are put back by best fit, longest
+first.  A mutation empties some bins instead.  After an epoch each island's
+elite migrates to the next island (a ring) and evolves on there; after
+``EPOCHS`` migrations the shard's best packing wins.  An island stops at the
+lower bound, which no packing can beat; ``report`` says how far each shard is
+from it.
 
 A shard's size does not grow with the corpus, shards are independent, and a
 row of the shuffles is one island with its lengths and bins packed as bytes.
@@ -26,6 +30,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +43,10 @@ from lamina.llm.tokens import Kept, Merges, load, tokenizer_path
 
 LENGTH = 2048
 SHARD = 4096
-ISLANDS = 2
-POPULATION = 4
-GENERATIONS = 6
+ISLANDS = 3
+EPOCHS = 2
+POPULATION = 6
+GENERATIONS = 48
 CACHED = 250_000
 
 
@@ -120,6 +126,33 @@ class Bins:
         return len(self.bins), -sum((self.room - r) ** 2 for r in self.left)
 
 
+    def swap_in(self, loose: list[int], lengths: list[int]) -> list[int]:
+        """Puts loose items where one or two shorter ones of a bin were, if that fills the bin better; what is loose then."""
+        free = sorted((lengths[x], x) for x in loose)
+        for k, items in enumerate(self.bins):
+            if not self.left[k] or not free:
+                continue
+            outs = [(lengths[x], (x,)) for x in items] + [(lengths[x] + lengths[y], (x, y)) for i, x in enumerate(items) for y in items[:i]] if len(items) < 12 else [(lengths[x], (x,)) for x in items]
+            best = (0, -1, ())
+            for n, out in outs:
+                at = bisect_right(free, (n + self.left[k], math.inf)) - 1
+                if at >= 0 and free[at][0] - n > best[0]:
+                    best = (free[at][0] - n, at, out)
+            gain, at, out = best
+            if gain:
+                _, x = free.pop(at)
+                self.bins[k] = [y for y in items if y not in out] + [x]
+                self.left[k] -= gain
+                for y in out:
+                    insort(free, (lengths[y], y))
+        return [x for _, x in free]
+
+    def refill(self, loose: list[int], lengths: list[int]) -> Bins:
+        """self with the loose items back in it."""
+        self.best_fit(sorted(self.swap_in(loose, lengths), key=lambda x: -lengths[x]), lengths)
+        return self
+
+
 def crossover(one: Bins, other: Bins, lengths: list[int], rng: random.Random) -> Bins:
     """one, with some of other's well-filled bins injected whole."""
     full = sorted(range(len(other.bins)), key=other.left.__getitem__)[: max(1, len(other.bins) // 2)]
@@ -136,14 +169,27 @@ def crossover(one: Bins, other: Bins, lengths: list[int], rng: random.Random) ->
     for i in chosen:
         child.bins.append(list(other.bins[i]))
         child.left.append(other.left[i])
-    child.best_fit(sorted(loose, key=lambda x: -lengths[x]), lengths)
-    return child
+    return child.refill(loose, lengths)
+
+
+def mutation(one: Bins, lengths: list[int], rng: random.Random) -> Bins:
+    """one, with its worst bin and some others emptied and their items put back."""
+    emptied = {max(range(len(one.bins)), key=one.left.__getitem__), *rng.sample(range(len(one.bins)), min(len(one.bins), max(2, len(one.bins) // 20)))}
+    child = Bins(one.room)
+    child.bins = [list(x) for i, x in enumerate(one.bins) if i not in emptied]
+    child.left = [r for i, r in enumerate(one.left) if i not in emptied]
+    return child.refill([x for i in emptied for x in one.bins[i]], lengths)
+
+
+def lower_bound(lengths: list[int], room: int) -> int:
+    """Bins that any packing needs at least."""
+    return max(math.ceil(sum(lengths) / room), sum(2 * n > room for n in lengths))
 
 
 def evolve(lengths: list[int], room: int, seed: int, elites: list[list[list[int]]], generations: int = GENERATIONS) -> Bins:
     """The best packing that an island finds, from elites and greedy starts."""
     rng = random.Random(seed)
-    bound = max(math.ceil(sum(lengths) / room), sum(2 * n > room for n in lengths))
+    bound = lower_bound(lengths, room)
     people = []
     for bins in elites:
         b = Bins(room)
@@ -152,16 +198,15 @@ def evolve(lengths: list[int], room: int, seed: int, elites: list[list[list[int]
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     while len(people) < POPULATION and not any(len(b.bins) == bound for b in people):
         b = Bins(room)
-        noise = 0.0 if not people else 0.1
+        noise = 0.1 if people else 0.0
         b.best_fit(sorted(order, key=lambda i: -lengths[i] * (1 + noise * (rng.random() - 0.5))) if noise else order, lengths)
         people.append(b)
     for _ in range(generations):
         people.sort(key=Bins.fitness)
         if len(people[0].bins) <= bound:
             break
-        for _ in range(2):
-            one, other = rng.sample(people, 2)
-            people.append(crossover(one, other, lengths, rng))
+        one, other = rng.sample(people, 2)
+        people += [crossover(one, other, lengths, rng), crossover(other, one, lengths, rng), mutation(people[0], lengths, rng)]
         people = sorted(people, key=Bins.fitness)[:POPULATION]
     return min(people, key=Bins.fitness)
 
@@ -179,13 +224,14 @@ def _bins(payload: bytes) -> list[list[int]]:
     return out
 
 
-_ISLAND = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("n_bins", pa.int64()), ("order", pa.int64()), ("items", pa.binary()), ("bins", pa.binary())])
-_ISLAND_SQL = "shard long, island int, n_bins long, order long, items binary, bins binary"
+_ISLAND = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("n_bins", pa.int64()), ("bound", pa.int64()), ("order", pa.int64()), ("items", pa.binary()), ("bins", pa.binary())])
+_ISLAND_SQL = "shard long, island int, n_bins long, bound long, order long, items binary, bins binary"
 
 
 def _island(shard: int, island: int, rows: np.ndarray, lengths: np.ndarray, best: Bins) -> pa.Table:
     items = rows.astype("<i8").tobytes() + lengths.astype("<i8").tobytes()
-    return pa.Table.from_pylist([{"shard": shard, "island": island, "n_bins": len(best.bins), "order": best.fitness()[1], "items": items, "bins": _packed(best.bins)}], _ISLAND)
+    row = {"shard": shard, "island": island, "n_bins": len(best.bins), "bound": lower_bound(lengths.tolist(), best.room), "order": best.fitness()[1], "items": items, "bins": _packed(best.bins)}
+    return pa.Table.from_pylist([row], _ISLAND)
 
 
 def _items(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +239,8 @@ def _items(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: int = ISLANDS) -> DataFrame:
-    """pieces (with a column length of 1 to length) with sequence_id and offset."""
-    rows = checkpoint(pieces).withColumn("__row", F.monotonically_increasing_id())
-    full = rows.where(F.col("length") == length).select(
-        *pieces.columns, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    open_rows = rows.where(F.col("length") < length)
-    shards = max(1, math.ceil(open_rows.count() / shard))
+def islands_of(open_rows: DataFrame, length: int, shards: int, islands: int) -> DataFrame:
+    """Each shard's best island after all epochs, from rows of (__row, length)."""
 
     def first(key: tuple, group: pa.Table) -> pa.Table:
         k, i = (x.as_py() for x in key)
@@ -209,11 +249,54 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: i
         row, size = row[order], size[order]
         return _island(k, i, row, size, evolve(size.tolist(), length, 1000 * k + i, []))
 
-    def migrated(key: tuple, group: pa.Table) -> pa.Table:
-        k, i = (x.as_py() for x in key)
-        got = sorted(group.to_pylist(), key=lambda r: r["island"])
-        row, size = _items(got[0]["items"])
-        return _island(k, i, row, size, evolve(size.tolist(), length, 1000 * k + islands + i, [_bins(r["bins"]) for r in got]))
+    def migrated(epoch: int):
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            k, i = (x.as_py() for x in key)
+            got = sorted(group.to_pylist(), key=lambda r: r["island"])
+            row, size = _items(got[0]["items"])
+            return _island(k, i, row, size, evolve(size.tolist(), length, 1000 * k + islands * epoch + i, [_bins(r["bins"]) for r in got]))
+
+        return run
+
+    dealt = open_rows.select("__row", "length", F.pmod(F.xxhash64("__row"), F.lit(shards)).alias("shard"))
+    start = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
+    now = start.groupBy("shard", "island").applyInArrow(first, _ISLAND_SQL)
+    for epoch in range(1, EPOCHS + 1) if islands > 1 else ():
+        ring = now.withColumn("to", F.explode(F.array("island", (F.col("island") + 1) % islands)))
+        now = ring.groupBy("shard", "to").applyInArrow(migrated(epoch), _ISLAND_SQL)
+    best = F.min_by(F.struct("n_bins", "bound", "items", "bins"), F.struct("n_bins", "order", "island")).alias("b")
+    return now.groupBy("shard").agg(best).select("shard", "b.*")
+
+
+def _numbered(pieces: DataFrame, length: int, shard: int) -> tuple[DataFrame, DataFrame, int]:
+    """Pieces with row numbers, those of them that are shorter than a sequence, and the number of shards."""
+    rows = checkpoint(pieces).withColumn("__row", F.monotonically_increasing_id())
+    open_rows = rows.where(F.col("length") < length)
+    return rows, open_rows, max(1, math.ceil(open_rows.count() / shard))
+
+
+def report(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: int = ISLANDS) -> DataFrame:
+    """shard, n_bins, bound (bins that any packing of it needs) and greedy (bins of best fit alone) of every shard."""
+    _, open_rows, shards = _numbered(pieces, length, shard)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            greedy = []
+            for payload in b.column(3).to_pylist():
+                size, bins = sorted(_items(payload)[1].tolist(), reverse=True), Bins(length)
+                bins.best_fit(list(range(len(size))), size)
+                greedy.append(len(bins.bins))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(greedy, pa.int64())], ["shard", "n_bins", "bound", "greedy"])
+
+    return islands_of(open_rows, length, shards, islands).select("shard", "n_bins", "bound", "items").mapInArrow(count, "shard long, n_bins long, bound long, greedy long")
+
+
+def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: int = ISLANDS) -> DataFrame:
+    """pieces (with a column length of 1 to length) with sequence_id and offset."""
+    rows, open_rows, shards = _numbered(pieces, length, shard)
+    full = rows.where(F.col("length") == length).select(
+        *pieces.columns, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,12 +311,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: i
                     [pa.array(row[flat]), pa.array((r["shard"] << 24) + of), pa.array(ends - size[flat] - base)], ["__row", "sequence_id", "offset"]
                 )
 
-    dealt = open_rows.select("__row", "length", F.pmod(F.xxhash64("__row"), F.lit(shards)).alias("shard"))
-    start = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    elites = start.groupBy("shard", "island").applyInArrow(first, _ISLAND_SQL)
-    ring = elites.withColumn("to", F.explode(F.array("island", (F.col("island") + 1) % islands))) if islands > 1 else elites.withColumn("to", F.col("island"))
-    evolved = ring.groupBy("shard", "to").applyInArrow(migrated, _ISLAND_SQL)
-    best = evolved.groupBy("shard").agg(F.min_by(F.struct("items", "bins"), F.struct("n_bins", "order", "island")).alias("b")).select("shard", "b.*")
+    best = islands_of(open_rows, length, shards, islands).select("shard", "items", "bins")
     spots = best.mapInArrow(placed, "__row long, sequence_id long, offset long")
     return open_rows.join(spots, "__row").select(*pieces.columns, "sequence_id", "offset").unionByName(full)
 
