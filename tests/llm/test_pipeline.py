@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -25,6 +26,54 @@ def test_stages(spark):
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and columns with the names of the operators' own."""
+    prose = lambda k, n: " ".join(f"w{(i * k * k + i // 7) % 97}" for i in range(n))
+    rows = [(i, prose(i + 2, 30 + i), ["en", None][i % 2], ["a", "b", None][i % 3], 5) for i in range(30)]
+    rows += [(40, None, None, None, None), (41, "", "en", "a", 0), (42, " \n ", "en", "a", 3), (43, prose(91, 30_000), "en", "b", 1)]
+    rows += [rows[4], rows[4], (None, prose(71, 40), "en", "a", 1), (None, prose(71, 40), "en", "a", 2), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = ("score", "predicted", "held_out", "n_words", "n_removed", "kept_text", "fp", "tag", "copy", "positions", "size", "key")
+    return frame.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra}).cache()
+
+
+def test_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline as c
+
+    docs, texts = odd, {}
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SF).cache()
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            # Extra columns still belong to their row.
+            assert r.score == f"score {'-' if r.doc_id is None else r.doc_id}" and r.kept_text == f"kept_text {'-' if r.doc_id is None else r.doc_id}", name
+        texts[name] = {(r.doc_id, r.text) for r in out.collect()}
+        if name == "simhash":
+            assert out.where("doc_id = 4").count() == 1 and out.where("doc_id IS NULL AND text IS NOT NULL").count() == 1
+            assert out.where("text IS NULL OR trim(text) IN ('', '\n')").count() == 1
+        docs = out
+    assert (43, odd.where("doc_id = 43").first().text) in texts["simhash"]
+    packed = c.STAGES[-1][1](spark, docs, SF).collect()
+    assert len({(r.doc_id, r.piece) for r in packed}) > 20 and max(r.offset + r.length for r in packed) <= 2048
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+
+
+def test_run_keeps_the_last_folder_only(spark):
+    import corpus_pipeline as c
+
+    got = c.run(spark, SF)
+    assert got.count() > 0
+    folder = os.path.dirname(os.path.dirname(got.inputFiles()[0].removeprefix("file:")))
+    assert os.listdir(folder) == ["4-packing"]
+
+
 @pytest.mark.parametrize("name", ["op4_licenses", "op8_mixing"])
 def test_sql(spark, name):
     from lamina.llm.queries import ORACLES, QUERIES

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -246,6 +247,36 @@ def test_genetic_steps():
     assert len(again.bins) <= len(best.bins)
 
 
+def triplets(n, room, seed):
+    """Lengths that fill n sequences to the brim, three to a sequence: hard for greedy packing."""
+    r, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        x = int(r.integers(room * 38 // 100, room * 49 // 100))
+        y = int(r.integers(room // 4, (room - x) // 2 + 1))
+        out += [x, y, room - x - y]
+    return [out[i] for i in r.permutation(3 * n)]
+
+
+def test_genetic_beats_greedy(spark):
+    """On lengths where best fit is far from the bound the islands need fewer sequences, and packing has what they found."""
+    pieces = [(i, 0, 0, n, 0) for i, n in enumerate(triplets(100, 1000, 1))]
+    frame = spark.createDataFrame(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long").coalesce(1)
+    (shard,) = packing.report(frame, 1000).collect()
+    assert 100 == shard.bound <= shard.n_bins <= 106 and shard.greedy >= 113
+    got = packing.pack(frame, 1000).collect()
+    assert len({r.sequence_id for r in got}) == shard.n_bins and len(got) == 300
+
+
+def test_genetic_operators():
+    lengths, r = triplets(30, 1000, 2), random.Random(3)
+    one = packing.evolve(lengths, 1000, 1, [], 0)
+    other = packing.evolve(lengths[::-1], 1000, 2, [], 0)
+    other.bins = [[89 - x for x in b] for b in other.bins]
+    for child in (packing.crossover(one, other, lengths, r), packing.mutation(one, lengths, r)):
+        assert sorted(x for b in child.bins for x in b) == list(range(90))
+        assert all(sum(lengths[x] for x in b) == 1000 - left >= 0 for b, left in zip(child.bins, child.left))
+
+
 def test_mixing(docs, none):
     got = mixing.taken_words(docs).collect()
     assert len(got) == len(ROWS)
@@ -478,12 +509,57 @@ def test_toxicity(docs, labels, none):
     assert toxicity.score(none, labels).count() == 0
 
 
+def brute_weight(g, text):
+    """A clause's weight by the rules, without machines: symbols by position."""
+    total = 0.0
+    symbols = b"".join(g.symbols(w) for w in text.encode().split())
+    for clause in symbols.split(bytes([toxicity.END])):
+        quoted = False
+        for i, x in enumerate(clause):
+            before = clause[:i]
+            reports = [k for k, y in enumerate(before) if y == toxicity.REPORT]
+            quoted = any(toxicity.QUOTE in before[k + 1 :] for k in reports)
+            if x >= toxicity.STEM:
+                w = g.weight[x]
+                if toxicity.TARGET in before or toxicity.OBJECT in before:
+                    w *= 1.25
+                # A negator holds for the three symbols after it.
+                if toxicity.NEGATOR in before[-3:]:
+                    w *= 0.1
+                total += w * (0.4 if quoted else 1)
+    return total
+
+
+def test_grammar_by_rules():
+    g = toxicity.Grammar({"stup": 3.0}, {"clown": 5.0})
+    r = np.random.default_rng(12)
+    lexicon = ["you", "not", "said", "that", "stupid", "clown", "tree", "dich", "is.", "and", "pas", "dit", "que"]
+    for _ in range(300):
+        text = " ".join(r.choice(lexicon, 14))
+        assert abs(g.measure(text.encode())[0] - brute_weight(g, text)) < 1e-9, text
+
+
+def test_toxicity_held_out(spark):
+    """Documents marked toxic that are not learned from score above the others."""
+    sf = "/root/testdata/sf0.01"
+    docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score(docs.select("doc_id", "text"), marks).join(marks, "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    foul, clean = ([r.score for r in got if r.toxic == k] for k in (1, 0))
+    auc = np.mean([(a > b) + (a == b) / 2 for a in foul for b in clean])
+    assert len(foul) >= 5 and auc > 0.75
+
+
 def test_grammar():
     g = toxicity.Grammar({}, {"stupid": 4.0})
     weigh = lambda t: g.measure(t.encode())[0]
     assert weigh("you are stupid") > weigh("that is stupid") > 0
     assert weigh("you are not stupid") < 0.2 * weigh("you are stupid")
     assert weigh("she said that he is stupid") < 0.5 * weigh("he is stupid")
+    for threat in ("i'll kill you", "Ich werde dich töten", "je vais te tuer", "te voy a matar", "voy a matarte"):
+        assert weigh(threat) >= toxicity.THREAT_WEIGHT, threat
+    assert weigh("wir werden töten") == weigh("vais tuer le temps") == weigh("te matar") == 0
+    assert weigh("sie sagte, dass er stupid ist") < 0.5 * weigh("er ist stupid") and weigh("ella dijo que es stupid") < 0.5 * weigh("es stupid")
+    assert weigh("tu n'es stupid") < 0.2 * weigh("tu es stupid")
     assert weigh("i will kill you") > 0 == weigh("you will kill time") == weigh("kill. i will. you")
     assert g.measure(None) == (0.0, 0, 0)
 
@@ -512,6 +588,69 @@ def test_neighbours(spark):
     assert neighbours.search(neighbours.valid_vectors(frame.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    """Vectors of another length are searched among themselves."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=8 if i % 3 else 5).tolist()) for i in range(90)] + [(150, [1.0])]
+    got = neighbours.search(neighbours.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0).collect()
+    by_id = dict(rows)
+    assert {g.query_id for g in got} == {0, 50} and all(len(by_id[g.vec_id]) == len(by_id[g.query_id]) for g in got)
+    assert all(sum(g.query_id == q for g in got) == 5 for q in (0, 50))
+
+
+@pytest.mark.parametrize("kind", ["normal", "clustered"])
+def test_neighbours_recall(kind):
+    """The share found on a sample reaches a recall of 0.9 against brute force in the whole, and few leaves do for clusters."""
+    r = np.random.default_rng(10)
+    x = r.normal(size=(20_000, 64))
+    if kind == "clustered":
+        x = x[r.integers(0, 100, len(x))] + 0.3 * x
+    forest = neighbours.Forest(x[:8192], neighbours.TREES, 5)
+    share = neighbours.needed_share(forest, x[:8192], 5)
+    leaves = forest.route(x)
+    sizes = np.bincount(leaves.ravel(), minlength=neighbours.TREES * forest.leaves)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    probe = np.arange(10_000, 10_150)
+    near = unit[probe] @ unit.T
+    near[np.arange(len(probe)), probe] = -2
+    order = np.argsort(-forest.margins(x[probe]), axis=1, kind="stable")
+    visited = np.cumsum(sizes[order], 1) - sizes[order] <= share * len(x)
+    found = [np.isin(leaves[:, np.argsort(-near[i])[:5]], order[i][visited[i]]).any(0).mean() for i in range(len(probe))]
+    assert np.mean(found) >= 0.9 and (kind == "normal" or share < 0.3)
+
+
+def test_quality_verdict(spark):
+    """Scores, threshold and verdict against counts in dictionaries."""
+    sf = "/root/testdata/sf0.001"
+    frame, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in frame.collect()}
+    label = {r.doc_id: r.quality for r in marks.collect() if r.quality is not None and r.doc_id is not None}
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    bits = quality.table_bits(sum(len(t.encode()) for t in texts.values()))
+
+    def cells(t):
+        return quality.features(*quality.text_buffers(pa.array([t])), bits)[1].tolist()
+
+    raw, target, of = {}, {}, {i: cells(t) for i, t in texts.items()}
+    for i, found in of.items():
+        for c in found:
+            raw[c] = raw.get(c, 0) + 1
+            if label.get(i) == 1 and learn(i):
+                target[c] = target.get(c, 0) + 1
+    share = sum(target.values()) / sum(raw.values())
+    weight = {c: np.log((target.get(c, 0) + quality.SUPPORT) / (n * share + quality.SUPPORT)) for c, n in raw.items()}
+    score = {i: float(np.mean([weight[c] for c in f])) if f else 0.0 for i, f in of.items()}
+    got = {r.doc_id: r for r in quality.assess(frame, marks).collect()}
+    assert all(abs(got[i].score - s) < 1e-5 for i, s in score.items())
+    fair = lambda k: np.array([score[i] for i, q in label.items() if q == k and not learn(i) and i in score and not got[i].base_failed])
+    cut = quality.best_threshold(fair(1), fair(0))
+    assert all(r.kept == (not r.base_failed and score[i] >= cut) or abs(score[i] - cut) < 1e-5 for i, r in got.items())
+
+
+def test_quality_cells_grow():
+    assert [quality.table_bits(n) for n in (0, 10**6, 10**9, 10**14)] == [16, 16, 22, 24]
+
+
 def test_hash_of_kept_text(spark, docs):
     r = substring.remove_repeats(docs.where("text = 'Two words'")).select(F.sha2("kept_text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"Two words").hexdigest()
