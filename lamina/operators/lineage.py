@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir, so what follows reads it and a lost executor costs a read.
 
-    A folder of our own serves only where the session names none (one machine, tests).
+    A folder of our own serves only where the session names none on one machine (as in tests).
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lamina"))
     return df.checkpoint(eager=True)
