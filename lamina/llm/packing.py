@@ -14,7 +14,8 @@ where that fills a bin better, and the rest are put back by best fit, longest
 first.  A mutation empties some bins instead.  After an epoch each island's
 elite migrates to the next island (a ring) and evolves on there; after
 ``EPOCHS`` migrations the shard's best packing wins.  An island stops at the
-lower bound, which no packing can beat; ``report`` says how far each shard is
+lower bound, which no packing can beat, or when ``PATIENCE`` generations gain
+nothing; ``report`` says how far each shard is
 from it.
 
 A shard's size does not grow with the corpus, shards are independent, and a
@@ -47,6 +48,8 @@ ISLANDS = 3
 EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 48
+#: Generations without a sequence less after which an island stops.
+PATIENCE = 8
 CACHED = 250_000
 
 
@@ -196,14 +199,16 @@ def evolve(lengths: list[int], room: int, seed: int, elites: list[list[list[int]
         b.bins, b.left = [list(x) for x in bins], [room - sum(lengths[i] for i in x) for x in bins]
         people.append(b)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    while len(people) < POPULATION and not any(len(b.bins) == bound for b in people):
+    while len(people) < (POPULATION if generations else 1) and not any(len(b.bins) == bound for b in people):
         b = Bins(room)
         noise = 0.1 if people else 0.0
         b.best_fit(sorted(order, key=lambda i: -lengths[i] * (1 + noise * (rng.random() - 0.5))) if noise else order, lengths)
         people.append(b)
+    least, idle = len(lengths) + 1, 0
     for _ in range(generations):
         people.sort(key=Bins.fitness)
-        if len(people[0].bins) <= bound:
+        least, idle = (len(people[0].bins), 0) if len(people[0].bins) < least else (least, idle + 1)
+        if least <= bound or idle > PATIENCE:
             break
         one, other = rng.sample(people, 2)
         people += [crossover(one, other, lengths, rng), crossover(other, one, lengths, rng), mutation(people[0], lengths, rng)]
@@ -240,32 +245,36 @@ def _items(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def islands_of(open_rows: DataFrame, length: int, shards: int, islands: int) -> DataFrame:
-    """Each shard's best island after all epochs, from rows of (__row, length)."""
+    """Each shard's best packing, from rows of (__row, length); shards that best fit alone brings to the bound are done with that."""
 
     def first(key: tuple, group: pa.Table) -> pa.Table:
-        k, i = (x.as_py() for x in key)
         row, size = group.column("__row").to_numpy(), group.column("length").to_numpy()
         order = np.lexsort((row, -size))
         row, size = row[order], size[order]
-        return _island(k, i, row, size, evolve(size.tolist(), length, 1000 * k + i, []))
+        return _island(key[0].as_py(), 0, row, size, evolve(size.tolist(), length, 0, [], 0))
 
-    def migrated(epoch: int):
+    def evolved(epoch: int):
         def run(key: tuple, group: pa.Table) -> pa.Table:
             k, i = (x.as_py() for x in key)
-            got = sorted(group.to_pylist(), key=lambda r: r["island"])
+            got = sorted(group.to_pylist(), key=lambda r: (r["n_bins"], r["island"]))
+            if got[0]["n_bins"] == got[0]["bound"]:
+                return pa.Table.from_pylist([got[0] | {"island": i}], _ISLAND)
             row, size = _items(got[0]["items"])
             return _island(k, i, row, size, evolve(size.tolist(), length, 1000 * k + islands * epoch + i, [_bins(r["bins"]) for r in got]))
 
         return run
 
     dealt = open_rows.select("__row", "length", F.pmod(F.xxhash64("__row"), F.lit(shards)).alias("shard"))
-    start = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    now = start.groupBy("shard", "island").applyInArrow(first, _ISLAND_SQL)
-    for epoch in range(1, EPOCHS + 1) if islands > 1 else ():
-        ring = now.withColumn("to", F.explode(F.array("island", (F.col("island") + 1) % islands)))
-        now = ring.groupBy("shard", "to").applyInArrow(migrated(epoch), _ISLAND_SQL)
+    greedy = checkpoint(dealt.groupBy("shard").applyInArrow(first, _ISLAND_SQL))
+    # Every island starts from the greedy packing and from others of its own; after that each has its own elite and its neighbour's.
+    now = greedy.where("n_bins > bound").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    for epoch in range(EPOCHS + 1 if islands > 1 else 1):
+        if epoch:
+            now = now.withColumn("to", F.explode(F.array("island", (F.col("island") + 1) % islands)))
+        now = now.groupBy("shard", "to").applyInArrow(evolved(epoch), _ISLAND_SQL)
     best = F.min_by(F.struct("n_bins", "bound", "items", "bins"), F.struct("n_bins", "order", "island")).alias("b")
-    return now.groupBy("shard").agg(best).select("shard", "b.*")
+    columns = ["shard", "n_bins", "bound", "items", "bins"]
+    return now.groupBy("shard").agg(best).select("shard", "b.*").select(*columns).unionByName(greedy.where("n_bins = bound").select(*columns))
 
 
 def _numbered(pieces: DataFrame, length: int, shard: int) -> tuple[DataFrame, DataFrame, int]:
