@@ -68,12 +68,21 @@ def closing_3d(mask: DataFrame, size: Size, radius: int = 1, slab: int = 64) ->
     return per_slab(mask, lambda a: dense.closing(a, foot), size, slab, 2 * radius, None, None)
 
 
-def opening_3d(mask: DataFrame, size: Size, radius: int = 0, slab: int = 64) -> DataFrame:
-    """Opening with a ball; radius 0 changes nothing."""
-    if radius == 0:
-        return mask
-    foot = dense.ball(radius, 3)
-    return per_slab(mask, lambda a: dense.opening(a, foot), size, slab, 2 * radius, None, None)
+def opening_3d(mask: DataFrame, size: Size, radius: int = 0, slab: int = 64, disk_radius: int = 0) -> DataFrame:
+    """Opening with a ball, then of each slice with a disk; radii of 0 change nothing.
+
+    The disk is a slice's: a volume of one slice is a 2-D image, and a disk on a
+    deeper one is an error, as their ranks differ.
+    """
+    if disk_radius > 0 and size[0] != 1:
+        raise ValueError("a disk opens slices, not volumes")
+    if radius > 0:
+        foot = dense.ball(radius, 3)
+        mask = per_slab(mask, lambda a: dense.opening(a, foot), size, slab, 2 * radius, None, None)
+    if disk_radius > 0:
+        flat = dense.ball(disk_radius, 2)
+        mask = per_slice(mask, lambda a: dense.opening(a, flat), size[1], size[2], None, None)
+    return mask
 
 
 def dilate_3d(mask: DataFrame, size: Size, radius: int = 1, slab: int = 64) -> DataFrame:
@@ -125,7 +134,7 @@ def valley_threshold(voxels: DataFrame, bins: int = 512, sigma: float = 1.0) ->
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         h = np.zeros(bins)
         h[rows["bin"]] = rows["n"]
-        h = dense.gaussian(h, sigma)
+        h = np.round(dense.gaussian(h, sigma), 9)
         two = sorted(dense.peaks_apart(h, bins // 10)[:2])
         at = 0.0 if len(two) < 2 else (two[0] + int(np.argmin(h[two[0] : two[1] + 1])) + 0.5) / bins
         return pd.DataFrame({"volume_id": [rows["volume_id"].iloc[0]], "threshold": [at]})

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 BY = ["volume_id"]
 
@@ -89,34 +90,60 @@ def slice_range(rows: DataFrame, start: int, end: int, depth: int) -> DataFrame:
     return rows.where((F.col("z") >= start) & (F.col("z") < end))
 
 
-def otsu(voxels: DataFrame, by: tuple[str, ...] = ("volume_id", "z")) -> DataFrame:
-    """Otsu's threshold of integer volumes, one bin a level; the first of equal maxima, a constant's own value."""
-    levels = voxels.groupBy(*by, F.col("v").cast("bigint").alias("v")).agg(F.count("*").alias("c"))
-    run, whole = W.partitionBy(*by).orderBy("v"), W.partitionBy(*by)
-    levels = levels.select(
-        *by, "v", F.sum("c").over(run).alias("n0"), F.sum(F.col("c") * F.col("v")).over(run).alias("s0"),
-        F.sum("c").over(whole).alias("n"), F.sum(F.col("c") * F.col("v")).over(whole).alias("s"),
-    )
+def binned(voxels: DataFrame, bins: int, by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
+    """voxels with ``level``, the bin of v, and ``low`` and ``width`` to turn a bin back into a value."""
+    v = F.col("v").cast("double")
+    span = voxels.groupBy(*by).agg(F.min(v).alias("low"), ((F.max(v) - F.min(v)) / bins).alias("width"))
+    level = F.when(F.col("width") > 0, F.least(F.floor((v - F.col("low")) / F.col("width")), F.lit(bins - 1))).otherwise(0)
+    return voxels.join(span, list(by)).withColumn("level", level.cast("int"))
+
+
+def _levels(voxels: DataFrame, by: tuple[str, ...], bins: int) -> DataFrame:
+    """k, value and count of the levels of a group: one a value of integers, else one of equal bins, whose value is its centre."""
+    if isinstance(voxels.schema["v"].dataType, IntegralType):
+        return voxels.groupBy(*by, F.col("v").cast("bigint").alias("k")).agg(F.count("*").alias("c")).withColumn("value", F.col("k"))
+    value = F.when(F.col("width") > 0, F.col("low") + (F.col("level") + 0.5) * F.col("width")).otherwise(F.col("low"))
+    return binned(voxels, bins, by).groupBy(*by, F.col("level").cast("bigint").alias("k"), value.alias("value")).agg(F.count("*").alias("c"))
+
+
+def _moments(voxels: DataFrame, by: tuple[str, ...], bins: int) -> DataFrame:
+    """Levels with the count and sum of values up to each (n0, s0) and of all (n, s)."""
+    run, whole = W.partitionBy(*by).orderBy("k"), W.partitionBy(*by)
+    part = F.col("c") * F.col("value")
+    return _levels(voxels, by, bins).select(*by, "k", "value", F.sum("c").over(run).alias("n0"), F.sum(part).over(run).alias("s0"), F.sum("c").over(whole).alias("n"), F.sum(part).over(whole).alias("s"))
+
+
+def otsu(voxels: DataFrame, by: tuple[str, ...] = ("volume_id", "z"), bins: int = 256) -> DataFrame:
+    """Otsu's threshold, one level a value of integers and ``bins`` equal bins else; the first of equal maxima, a constant's own value."""
+    levels = _moments(voxels, by, bins)
     n0, n1 = F.col("n0").cast("double"), (F.col("n") - F.col("n0")).cast("double")
     apart = F.col("s0") / n0 - F.when(n1 > 0, (F.col("s") - F.col("s0")) / n1)
     score = F.round(F.coalesce(n0 * n1 * apart * apart, F.lit(0.0)), 3)
-    return levels.groupBy(*by).agg(F.max_by("v", F.struct(score, -F.col("v"))).alias("threshold"))
+    return levels.groupBy(*by).agg(F.max_by("value", F.struct(score, -F.col("k"))).alias("threshold"))
 
 
-def multi_otsu(voxels: DataFrame, by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
-    """The two thresholds of three classes: prefix moments of the levels, every pair of levels scored once.
+def multi_otsu(voxels: DataFrame, by: tuple[str, ...] = ("volume_id",), classes: int = 3, bins: int = 256) -> DataFrame:
+    """The thresholds t1, t2, ... between ``classes`` classes: levels as for otsu, of equal scores the first.
 
-    The pairs are of levels (at most 256, or the bins asked for), never of voxels.
+    One step a class extends the best split that ends at each level to every
+    later level: pairs of levels, never of voxels nor tuples of them.  Groups
+    with fewer levels than classes are left out.
     """
-    levels = voxels.groupBy(*by, F.col("v").cast("bigint").alias("v")).agg(F.count("*").alias("c"))
-    run, whole = W.partitionBy(*by).orderBy("v"), W.partitionBy(*by)
-    m = levels.select(*by, "v", F.sum("c").over(run).cast("double").alias("n0"), F.sum(F.col("c") * F.col("v")).over(run).cast("double").alias("s0"),
-                      F.sum("c").over(whole).cast("double").alias("n"), F.sum(F.col("c") * F.col("v")).over(whole).cast("double").alias("s"))
-    a, b = m.alias("a"), m.select(*by, F.col("v").alias("v2"), F.col("n0").alias("n2"), F.col("s0").alias("s2")).alias("b")
-    pairs = a.join(b, list(by)).where("v < v2 AND n2 < n")
-    score = F.expr("s0 * s0 / n0 + (s2 - s0) * (s2 - s0) / (n2 - n0) + (s - s2) * (s - s2) / (n - n2)")
-    best = F.max_by(F.struct("v", "v2"), F.struct(F.round(score, 3), -F.col("v"), -F.col("v2")))
-    return pairs.groupBy(*by).agg(best.alias("t")).select(*by, F.col("t.v").alias("t1"), F.col("t.v2").alias("t2"))
+    if classes < 2:
+        raise ValueError(f"classes must be 2 or more: {classes}")
+    m = _moments(voxels, by, bins).select(*by, "k", "value", *[F.col(c).cast("double").alias(c) for c in ("n0", "s0", "n", "s")])
+    now = m.select(*by, F.col("k").alias("end"), F.col("n0").alias("m0"), F.col("s0").alias("r0"), (F.col("s0") * F.col("s0") / F.col("n0")).alias("score"), F.array("k").alias("path"), F.array(F.col("value")).alias("t"))
+    gain = (F.col("s0") - F.col("r0")) * (F.col("s0") - F.col("r0")) / (F.col("n0") - F.col("m0"))
+    for _ in range(classes - 2):
+        longer = now.join(m, list(by)).where("end < k").withColumn("score", F.col("score") + gain)
+        best = F.max_by(F.struct("n0", "s0", "score", "path", "t"), F.struct(F.round("score", 3), F.transform("path", lambda x: -x))).alias("b")
+        kept = longer.groupBy(*by, "k", "value").agg(best)
+        now = kept.select(*by, F.col("k").alias("end"), F.col("b.n0").alias("m0"), F.col("b.s0").alias("r0"), F.col("b.score").alias("score"), F.concat("b.path", F.array("k")).alias("path"), F.concat("b.t", F.array("value")).alias("t"))
+    whole = m.groupBy(*by).agg(F.max("n").alias("n"), F.max_by("s", "k").alias("s"))
+    last = (F.col("s") - F.col("r0")) * (F.col("s") - F.col("r0")) / (F.col("n") - F.col("m0"))
+    ended = now.join(whole, list(by)).where("m0 < n").withColumn("score", F.round(F.col("score") + last, 3))
+    found = ended.groupBy(*by).agg(F.max_by("t", F.struct(F.col("score"), F.transform("path", lambda x: -x))).alias("t"))
+    return found.select(*by, *[F.col("t")[i].alias(f"t{i + 1}") for i in range(classes - 1)])
 
 
 def valley_inputs(voxels: DataFrame) -> DataFrame:

@@ -1,9 +1,16 @@
-"""Region measurement and its roll-ups (MEA1, MEA3-9, JON1-3, VIZ2)."""
+"""Region measurement and its roll-ups (MEA1-9, PRJ1, JON1-3, VIZ2)."""
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamina.kernels import shape
+
 KEY = ["volume_id", "z", "label"]
 VOXEL = ["volume_id", "z", "y", "x"]
 
@@ -30,6 +37,60 @@ def regions(labels: DataFrame, voxels: DataFrame) -> DataFrame:
     }).drop("myy", "mxx", "myx")
 
 
+#: Properties that need a region's pixels, by name.
+SHAPES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float]] = {
+    "perimeter": lambda y, x, mask, values: shape.perimeter(mask),
+    "solidity": lambda y, x, mask, values: len(y) / shape.convex_area(mask),
+    "orientation": lambda y, x, mask, values: shape.orientation(y, x),
+}
+DEFAULT = ("label", "area", "centroid", "mean_intensity")
+
+
+def shapes(labels: DataFrame, voxels: DataFrame, names: list[str], extra: dict[str, Callable] | None = None) -> DataFrame:
+    """KEY and a column of doubles for each name: those of SHAPES, and extra(mask, intensity) of each region's bounding box.
+
+    A slice is one task's; intensity is 0 outside the region.
+    """
+    own = extra or {}
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for label, part in rows.groupby("label"):
+            y, x = part["y"].to_numpy(np.int64), part["x"].to_numpy(np.int64)
+            mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+            values = np.zeros(mask.shape, part["v"].to_numpy().dtype)
+            mask[y - y.min(), x - x.min()] = True
+            values[y - y.min(), x - x.min()] = part["v"]
+            out.append((key[0], key[1], label, *(float(own[n](mask, values)) if n in own else SHAPES[n](y, x, mask, values) for n in names)))
+        return pd.DataFrame(out, columns=[*KEY, *names])
+
+    rows = labels.join(voxels, VOXEL).select(*VOXEL, "label", "v")
+    return rows.groupBy("volume_id", "z").applyInPandas(run, "volume_id string, z int, label int" + "".join(f", `{n}` double" for n in names))
+
+
+def measure_regions(labels: DataFrame, voxels: DataFrame, properties: tuple[str, ...] = DEFAULT, extra: dict[str, Callable] | None = None) -> DataFrame:
+    """volume_id, z and the properties asked for of every region; a name that nothing is known of is a null column.
+
+    extra has functions (mask, intensity) -> number by name; one is computed if
+    its name is among the properties.
+    """
+    found = regions(labels, voxels).withColumns({"centroid": F.array("cy", "cx"), "bbox": F.array("y0", "x0", "y1", "x1")})
+    kernel = [n for n in properties if n in SHAPES or n in (extra or {})]
+    if kernel:
+        found = found.drop(*kernel).join(shapes(labels, voxels, kernel, extra), KEY)
+    return found.select("volume_id", "z", *[F.col(n) if n in found.columns else F.lit(None).cast("double").alias(n) for n in properties])
+
+
+def slice_summary(measured: DataFrame) -> DataFrame:
+    """Ten figures of each slice's regions; means and deviations are over regions."""
+    area, mean = F.col("area").cast("double"), F.col("mean_intensity")
+    return measured.groupBy("volume_id", "z").agg(
+        F.count("*").alias("num_regions"), F.sum("area").alias("total_area"), F.avg(area).alias("mean_area"), F.stddev_pop(area).alias("std_area"),
+        F.avg(mean).alias("mean_intensity"), F.stddev_pop(mean).alias("std_intensity"), F.max("area").alias("max_area"), F.min("area").alias("min_area"),
+        F.max(mean).alias("max_intensity"), F.min(mean).alias("min_intensity"),
+    )
+
+
 def segmentation_stats(labels: DataFrame, slices: DataFrame) -> DataFrame:
     """Areas of each slice's regions; slices without regions have zeros."""
     area = labels.groupBy(*KEY).agg(F.count("*").alias("area"))
@@ -63,17 +124,36 @@ def top_regions(area: DataFrame, n: int = 5) -> DataFrame:
     return area.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def compare_top_two(measured: DataFrame) -> DataFrame:
-    """Differences and ratios of each slice's two largest regions (none where there is one)."""
-    top = top_regions(measured, 2)
+def _compared(ranked: DataFrame, first: int, second: int) -> DataFrame:
+    """Differences and ratios of the regions of those ranks in each slice; slices without one of them are left out."""
+    shape_of = [c for c in ("eccentricity", "solidity") if c in ranked.columns]
     cell = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    both = top.groupBy("volume_id", "z").agg(*[cell(k, c).alias(f"{c}_{k}") for c in ("label", "area", "mean_intensity") for k in (1, 2)])
-    return both.where("label_2 IS NOT NULL").withColumns({
+    both = ranked.where(F.col("rank").isin(first, second)).groupBy("volume_id", "z").agg(
+        *[cell(k, c).alias(f"{c}_{i}") for c in ("label", "area", "mean_intensity", *shape_of) for i, k in ((1, first), (2, second))]
+    )
+    return both.where("label_1 IS NOT NULL AND label_2 IS NOT NULL").withColumns({
         "area_difference": F.col("area_1") - F.col("area_2"), "area_ratio": _ratio(F.col("area_1").cast("double"), F.col("area_2").cast("double")),
         "intensity_difference": F.col("mean_intensity_1") - F.col("mean_intensity_2"), "intensity_ratio": _ratio(F.col("mean_intensity_1"), F.col("mean_intensity_2")),
     })
 
 
+def compare_top_two(measured: DataFrame) -> DataFrame:
+    """The comparison of each slice's two largest regions (none where there is one)."""
+    return _compared(top_regions(measured.select(*KEY, "area", "mean_intensity"), 2), 1, 2)
+
+
+def compare_regions(measured: DataFrame, indices: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """The comparison of two regions by their place (from 0) among the slice's labels, with eccentricity and solidity where measured.
+
+    A slice that lacks one of them has no row; anything but two places from 0
+    on is an error.
+    """
+    if len(indices) != 2 or min(indices) < 0:
+        raise ValueError(f"two places from 0 on are needed: {indices}")
+    rank = F.row_number().over(W.partitionBy("volume_id", "z").orderBy("label")) - 1
+    return _compared(measured.withColumn("rank", rank), *indices)
+
+
 def cross_slice_stats(measured: DataFrame, n_slices: int) -> DataFrame:
     """Roll-up over regions of all slices; means are over regions, not pixels."""
     area = F.col("area").cast("double")

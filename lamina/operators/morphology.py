@@ -1,53 +1,44 @@
-"""Binary morphology on sparse masks (MOR1, MOR4-6, MOR8) and neighbourhood sums (FLT1, FLT4a).
+"""Morphology of masks (MOR1, MOR4-6, MOR8) and filters (FLT1, FLT4a) of slices.
 
-Footprints are constants, so an offset explode multiplies rows by a fixed
-factor and every step is one aggregation on the voxel's key.
+Slices are independent, so each operator is one kernel call a slice: rows meet
+once, by slice, however large the footprint.
 """
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = ["volume_id", "z", "y", "x"]
-CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
+from lamina.kernels import dense
+from lamina.operators.blocks import per_slice
 
+CROSS = dense.CROSS2
 
-def disk(radius: int) -> list[tuple[int, int]]:
-    r = range(-radius, radius + 1)
-    return [(a, b) for a in r for b in r if a * a + b * b <= radius * radius]
-
-
-def _shifted(mask: DataFrame, footprint: list[tuple[int, int]], sign: int = 1) -> DataFrame:
-    steps = F.explode(F.array(*[F.struct(F.lit(sign * a).alias("dy"), F.lit(sign * b).alias("dx")) for a, b in footprint]))
-    moved = mask.select(*KEY, steps.alias("d"))
-    return moved.select("volume_id", "z", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
 
-
-def _framed(height: int, width: int) -> Column:
-    return F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+def disk(radius: int) -> list[tuple[int, int]]:
+    return dense.ball(radius, 2)
 
 
 def dilate(mask: DataFrame, height: int, width: int, footprint: list[tuple[int, int]] = CROSS) -> DataFrame:
-    return _shifted(mask, footprint).where(_framed(height, width)).distinct()
+    return per_slice(mask, lambda a: dense.dilate(a, footprint), height, width, None, None)
 
 
 def erode(mask: DataFrame, height: int, width: int, footprint: list[tuple[int, int]] = CROSS, outside: bool = True) -> DataFrame:
     """Pixels whose whole footprint is true; what lies outside the frame counts as ``outside``."""
-    hits = _shifted(mask, footprint, -1).where(_framed(height, width)).groupBy(*KEY).agg(F.count("*").alias("n"))
-    need = F.lit(0)
-    for a, b in footprint:
-        there = (F.col("y") + a).between(0, height - 1) & (F.col("x") + b).between(0, width - 1)
-        need = need + (there.cast("int") if outside else 1)
-    return hits.where(F.col("n") == need).select(*KEY)
+    return per_slice(mask, lambda a: dense.erode(a, footprint, outside), height, width, None, None)
 
 
 def opening(mask: DataFrame, height: int, width: int, footprint: list[tuple[int, int]] = CROSS) -> DataFrame:
-    return dilate(erode(mask, height, width, footprint), height, width, footprint)
+    return per_slice(mask, lambda a: dense.opening(a, footprint), height, width, None, None)
 
 
 def closing(mask: DataFrame, height: int, width: int, footprint: list[tuple[int, int]] = CROSS) -> DataFrame:
-    return erode(dilate(mask, height, width, footprint), height, width, footprint)
+    return per_slice(mask, lambda a: dense.closing(a, footprint), height, width, None, None)
+
+
+def open_close(mask: DataFrame, height: int, width: int, footprint: list[tuple[int, int]] = CROSS) -> DataFrame:
+    """Opening, then closing, in one visit of the slice."""
+    return per_slice(mask, lambda a: dense.closing(dense.opening(a, footprint), footprint), height, width, None, None)
 
 
 def remove_small(labels: DataFrame, min_size: int) -> DataFrame:
@@ -62,31 +53,11 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_1d(voxels: DataFrame, axis: str, size: int, sigma: float) -> DataFrame:
-    """One pass of a separable Gaussian along an axis of that size, borders reflected at half samples."""
-    w = gaussian_weights(sigma)
-    r = len(w) // 2
-    steps = F.explode(F.array(*[F.struct(F.lit(k - r).alias("d"), F.lit(x).alias("w")) for k, x in enumerate(w)]))
-    moved = voxels.withColumn("s", steps)
-    # v at p adds to every output whose reflected neighbour is p: p - d, and its mirrors in the frame
-    images = F.array(F.col(axis) - F.col("s.d"), -1 - F.col(axis) - F.col("s.d"), 2 * size - 1 - F.col(axis) - F.col("s.d"))
-    moved = moved.withColumn("to", F.explode(images)).where(F.col("to").between(0, size - 1))
-    keys = [F.col("to").alias(axis) if k == axis else F.col(k) for k in KEY]
-    return moved.groupBy(*keys).agg(F.sum(F.col("v") * F.col("s.w")).alias("v")).select(*KEY, "v")
-
-
 def gaussian_2d(voxels: DataFrame, height: int, width: int, sigma: float) -> DataFrame:
-    return gaussian_1d(gaussian_1d(voxels, "y", height, sigma), "x", width, sigma)
-
-
-SOBEL = [(a, b, (2 - abs(b)) * -a, (2 - abs(a)) * -b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    """2-D Gaussian, borders reflected at half samples."""
+    return per_slice(voxels, lambda a: dense.gaussian(a, sigma), height, width)
 
 
-def sobel(voxels: DataFrame) -> DataFrame:
-    """Gradient magnitude of interior pixels, in double."""
-    steps = F.explode(F.array(*[F.struct(*(F.lit(k).alias(n) for k, n in zip(o, ("a", "b", "gy", "gx")))) for o in SOBEL]))
-    moved = voxels.select("volume_id", "z", "y", "x", "v", steps.alias("s"))
-    at = [F.col("volume_id"), F.col("z"), (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x")]
-    v = F.col("v").cast("double")
-    sums = moved.groupBy(*at).agg(F.sum(v * F.col("s.gy")).alias("gy"), F.sum(v * F.col("s.gx")).alias("gx"), F.count("*").alias("n"))
-    return sums.where(F.col("n") == len(SOBEL)).select(*KEY, F.hypot("gy", "gx").alias("v"))
+def sobel(voxels: DataFrame, height: int, width: int) -> DataFrame:
+    """Gradient magnitude of every pixel, in double, borders reflected."""
+    return per_slice(voxels, dense.sobel, height, width)

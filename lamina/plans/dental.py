@@ -99,13 +99,18 @@ def segment_mandible(voxels: DataFrame, size: Size, slab: int = 64) -> dict[str,
     clean = both.withColumn("v", F.when(F.col("v") > level, F.col("v")).otherwise(0.0))
     clean = cut(clean)
     incisor = cut(segment_incisor(clean.drop("bone"), size, slab))
-    dense = clean.withColumn("v", F.when(F.col("v") >= BONE * F.col("bone"), F.col("v")).otherwise(0.0)).drop("bone")
+    dense = keep_bone(clean)
     near = filters.dilate_3d(incisor, size, 2, slab).withColumn("near", F.lit(True))
     rest = dense.join(near, FRAME, "left").withColumn("v", F.when(F.col("near"), 0.0).otherwise(F.col("v"))).drop("near")
     bone, molars = segment_molar_bone(cut(rest), size, slab)
     return {"clean": clean.drop("bone"), "incisor": measure.keep_mask(voxels, incisor), "bone": measure.keep_mask(voxels, bone), "molars": measure.keep_mask(voxels, molars)}
 
 
+def keep_bone(voxels: DataFrame) -> DataFrame:
+    """v where it is at least BONE times the column bone, else 0."""
+    return voxels.withColumn("v", F.when(F.col("v") >= BONE * F.col("bone"), F.col("v")).otherwise(F.lit(0).cast(voxels.schema["v"].dataType))).drop("bone")
+
+
 def trim_ends(voxels: DataFrame, min_area: int = 200) -> DataFrame:
     """Slices before the first and after the last whose first region is large enough become 0; none qualifies: no change."""
     area = labeling.label_slices(voxels.where("v > 0"), 1).groupBy("volume_id", "z", "label").agg(F.count("*").alias("area"))
@@ -121,22 +126,20 @@ def dentin_ring(voxels: DataFrame, size: Size) -> DataFrame:
     return sequence.ring_slice(labels.groupBy("volume_id", "z", "label").agg(F.count("*").alias("area")))
 
 
-def binned(voxels: DataFrame, bins: int, by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
-    """voxels with ``level``, the bin of v, and ``low`` and ``width`` to turn a bin back into a value."""
-    v = F.col("v").cast("double")
-    span = voxels.groupBy(*by).agg(F.min(v).alias("low"), ((F.max(v) - F.min(v)) / bins).alias("width"))
-    level = F.when(F.col("width") > 0, F.least(F.floor((v - F.col("low")) / F.col("width")), F.lit(bins - 1))).otherwise(0)
-    return voxels.join(span, list(by)).withColumn("level", level.cast("int"))
-
-
 def upper_threshold(voxels: DataFrame, bins: int = 512, by: tuple[str, ...] = ("volume_id",)) -> DataFrame:
     """The upper of two Otsu thresholds over equal bins, as a bin's centre; null where there are fewer than three levels."""
-    rows = binned(voxels, bins, by)
+    rows = intensity.binned(voxels, bins, by)
     scale = rows.groupBy(*by).agg(F.first("low").alias("low"), F.first("width").alias("width"))
     found = intensity.multi_otsu(rows.select(*by, F.col("level").alias("v")), by)
     return scale.join(found, list(by), "left").select(*by, (F.col("low") + (F.col("t2") + 0.5) * F.col("width")).alias("upper"))
 
 
+def tissues(region: DataFrame) -> DataFrame:
+    """Positive voxels and whether they reach their volume's upper threshold (enamel) or not (dentin)."""
+    both = region.join(upper_threshold(region), "volume_id").where("v > 0")
+    return both.withColumn("bright", F.col("v") >= F.col("upper")).drop("upper")
+
+
 def dentin_intensity(voxels: DataFrame, depths: DataFrame) -> DataFrame:
     """Per volume, the mean of the first 3-D component of dark voxels in the middle fifth (SEQ7); depths has (volume_id, depth)."""
     part = F.floor(F.col("depth") * 0.1)
@@ -190,8 +193,8 @@ def analyze_before(region: DataFrame, size: Size) -> DataFrame:
 
 def analyze_after(region: DataFrame) -> DataFrame:
     """Slices after it: one threshold a volume parts enamel (bright) from dentin (DOM5b)."""
-    both = region.join(upper_threshold(region), "volume_id").where("v > 0")
-    return _ratios(_selected(both.where("v >= upper").select(*FRAME), region, "area"), _selected(both.where("v < upper").select(*FRAME), region, "area"))
+    both = tissues(region)
+    return _ratios(_selected(both.where("bright").select(*FRAME), region, "area"), _selected(both.where("NOT bright").select(*FRAME), region, "area"))
 
 
 def enamel_curve(voxels: DataFrame, size: Size, min_area: int = 200) -> DataFrame:

@@ -89,8 +89,14 @@ def test_reslice_follows_a_tube(spark):
 
 
 def test_resample_is_trilinear(spark):
-    v = voxels(spark, [[0, 10], [20, 30]])
+    whole = voxels(spark, [[0, 10], [20, 30]])
+    v = whole.withColumn("v", whole.v.cast("double"))
     frame = spark.createDataFrame([("a", 0, 0.0, 0.5, 0.25, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "volume_id string, i int, z double, y double, x double, nz double, ny double, nx double, bz double, `by` double, bx double")
     got = {(r.y, r.x): r.v for r in reslice.resample(v, frame, 3, 0.1).collect()}
     assert abs(got[1, 1] - 12.5) < 1e-9 and len(got) == 9
-    assert abs(got[1, 2] - 14.0) < 1e-9
+    # Column 2 is 0.15 along the normal, which is y: 0.75 (20 * 0.65) + 0.25 (10 + 20 * 0.65); row 2 is as far along x.
+    assert abs(got[1, 2] - 15.5) < 1e-9 and abs(got[2, 1] - 14.0) < 1e-9
+    assert {(r.y, r.x): r.v for r in reslice.resample(whole, frame, 3, 0.1).collect()}[1, 2] == 16
+    # 0.75 beyond the last row there is no voxel to blend with.
+    far = {(r.y, r.x): r.v for r in reslice.resample(v, frame, 3, 0.5).collect()}
+    assert far[1, 2] == 0 and far[1, 0] == 0 and abs(far[1, 1] - 12.5) < 1e-9
