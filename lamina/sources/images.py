@@ -39,6 +39,21 @@ def _rank(name: Column, sort_by: str) -> list[Column]:
     raise ValueError(f"unknown sort: {sort_by}")
 
 
+def _plain(path: Column) -> Column:
+    """A path with one slash after its scheme: sources write file:/ or file:///."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def _listed(spark: SparkSession, where: list[str], pattern: str, nested: bool, skip: tuple[str, ...], exclude: str | None) -> DataFrame:
+    """volume_id, origin and changed of the files: a listing, which reads no content."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(where).select(F.col("path").alias("origin"), F.col("modificationTime").alias("changed"))
+    name, volume = F.element_at(F.split("origin", "/"), -1), F.element_at(F.split("origin", "/"), -2)
+    files = files.withColumn("volume_id", volume)
+    if nested:
+        files = files.where(~volume.isin(*skip))
+    return files.where(~name.rlike(_pattern(exclude))) if exclude else files
+
+
 def slices(spark: SparkSession, directory: str, pattern: str = "*.bmp", exclude: str | None = None, sort_by: str = "name", nested: bool = False, skip: tuple[str, ...] = ("Compressed",)) -> DataFrame:
     """slices(volume_id, z, height, width, data) of a folder; data is one grey byte a pixel.
 
@@ -55,18 +70,15 @@ def slices(spark: SparkSession, directory: str, pattern: str = "*.bmp", exclude:
             raise FileNotFoundError(directory) from e
         raise
     rows = found.select("image.*")
-    if sort_by == "date":
-        times = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(where).select(F.col("path").alias("__path"), F.col("modificationTime").alias("changed"))
-        rows = rows.join(times, F.col("origin") == F.col("__path"), "left")
     name = F.element_at(F.split("origin", "/"), -1)
     volume = F.element_at(F.split("origin", "/"), -2)
     rows = rows.withColumn("volume_id", volume).where(~volume.isin(*skip)) if nested else rows.withColumn("volume_id", volume)
     if exclude:
         rows = rows.where(~name.rlike(_pattern(exclude)))
-    # Ranks within a volume: one row a slice, names only, before any pixel moves.
-    order = rows.select("volume_id", "origin", *(["changed"] if sort_by == "date" else []))
-    ranked = order.withColumn("z", F.row_number().over(W.partitionBy("volume_id").orderBy(*_rank(name, sort_by))) - 1).select("origin", "z")
-    rows = rows.join(ranked, "origin")
+    # Ranks within a volume: one row a slice, paths only; no image is decoded for them.
+    paths = _listed(spark, where, pattern, nested, skip, exclude)
+    ranked = paths.withColumn("z", F.row_number().over(W.partitionBy("volume_id").orderBy(*_rank(F.element_at(F.split("origin", "/"), -1), sort_by))) - 1).select(_plain(F.col("origin")).alias("__at"), "z")
+    rows = rows.withColumn("__at", _plain(F.col("origin"))).join(ranked, "__at")
     shape = rows.groupBy("volume_id").agg(F.count_distinct("height", "width").alias("n"), F.min("height").alias("h")).agg(F.count("*"), F.max("n"), F.min("h")).first()
     if not shape[0]:
         raise FileNotFoundError(f"no {pattern} in {directory}")
@@ -116,8 +128,8 @@ def scanner_stack(spark: SparkSession, directory: str) -> DataFrame:
     return image_stack(spark, directory, exclude="*spr.bmp")
 
 
-def tiff_stack(spark: SparkSession, path: str) -> DataFrame:
-    """voxels (v double) of TIFF files, a volume each, named by its folder; a file is one task, a page at a time."""
+def tiff_stack(spark: SparkSession, path: str, name: str = "*.tif*") -> DataFrame:
+    """voxels (v double) of the TIFF files of that name, a volume each, named by its folder; a file is one task, a page at a time."""
 
     def unfold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -126,4 +138,4 @@ def tiff_stack(spark: SparkSession, path: str) -> DataFrame:
                     y, x = np.divmod(np.arange(a.size, dtype=np.int32), np.int32(a.shape[1]))
                     yield pd.DataFrame({"volume_id": r.path.split("/")[-2], "z": np.int32(z), "y": y, "x": x, "v": a.ravel().astype(float)})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path", "content").mapInPandas(unfold, "volume_id string, z int, y int, x int, v double")
+    return spark.read.format("binaryFile").option("pathGlobFilter", name).load(path).select("path", "content").mapInPandas(unfold, "volume_id string, z int, y int, x int, v double")

@@ -112,32 +112,54 @@ def report(results: dict) -> str:
     return "\n".join([rule, *lines, rule])
 
 
-def save_tiff(voxels: DataFrame, folder: str, name: str, height: int, width: int) -> DataFrame:
+def _whole(folder: str, volume: str, name: str, write) -> str:
+    """The path of a volume's file, which appears under its name only once write has ended."""
+    os.makedirs(os.path.join(folder, volume), exist_ok=True)
+    path = os.path.join(folder, volume, name)
+    part = f"{path}.{os.getpid()}"
+    with open(part, "wb") as f:
+        write(f)
+    os.replace(part, path)
+    return path
+
+
+def save_csv(rows: DataFrame, folder: str, name: str, order: str) -> DataFrame:
+    """Writes ``folder/<volume_id>/name`` (``{volume}`` in it standing for the id) for each volume, in order of a column, and returns (volume_id, path).
+
+    folder must be one that all executors reach; a volume is one task.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        volume = part["volume_id"].iloc[0]
+        text = part.drop(columns="volume_id").sort_values(order).to_csv(index=False)
+        path = _whole(folder, volume, name.replace("{volume}", volume), lambda f: f.write(text.encode()))
+        return pd.DataFrame({"volume_id": [volume], "path": [path]})
+
+    return rows.groupBy("volume_id").applyInPandas(run, "volume_id string, path string")
+
+
+def save_tiff(voxels: DataFrame, folder: str, name: str, height: int, width: int, depth: int | None = None) -> DataFrame:
     """Writes ``folder/<volume_id>/name`` for each volume and returns (volume_id, path, slices).
 
     folder must be one that all executors reach; a volume is one task, its
-    slices in order, a page at a time.  The file appears under its name only
+    slices in order, a page at a time; depth None ends at the last slice with
+    voxels.  The file appears under its name only
     once it is whole, so a task that is run again does no harm.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         volume = rows["volume_id"].iloc[0]
-        os.makedirs(os.path.join(folder, volume), exist_ok=True)
-        path = os.path.join(folder, volume, name)
-        part = f"{path}.{os.getpid()}"
-        depth = int(rows["z"].max()) + 1
+        deep = depth or int(rows["z"].max()) + 1
         by = {z: g for z, g in rows.groupby("z")}
 
         def pages():
-            for z in range(depth):
+            for z in range(deep):
                 a = np.zeros((height, width), rows["v"].dtype)
                 if z in by:
                     a[by[z]["y"], by[z]["x"]] = by[z]["v"]
                 yield a
 
-        with open(part, "wb") as f:
-            tiff.write(f, pages())
-        os.replace(part, path)
-        return pd.DataFrame({"volume_id": [volume], "path": [path], "slices": [depth]})
+        path = _whole(folder, volume, name, lambda f: tiff.write(f, pages()))
+        return pd.DataFrame({"volume_id": [volume], "path": [path], "slices": [deep]})
 
     return voxels.select("volume_id", "z", "y", "x", "v").groupBy("volume_id").applyInPandas(run, "volume_id string, path string, slices int")

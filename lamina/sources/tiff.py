@@ -1,4 +1,4 @@
-"""Multi-page grey TIFF, classic and big, plain or deflated strips; standard library and numpy only."""
+"""Multi-page grey TIFF, classic and big: plain, deflated, LZW or PackBits strips, with predictors; standard library and numpy only."""
 
 from __future__ import annotations
 
@@ -39,16 +39,73 @@ def _pages(data: bytes):
         at = struct.unpack_from(order + place, data, at + n * entry)[0]
 
 
+def unpack_bits(data: bytes) -> bytes:
+    """PackBits: a count of 0 to 127 before that many bytes and one more, or of -1 to -127 before a byte to repeat."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the high bit on, 9 to 12 bits wide, widened one code early; 256 clears, 257 ends."""
+    out, bits, held, width = bytearray(), 0, 0, 9
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    known, last = list(first), b""
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            known, width, last = list(first), 9, b""
+            continue
+        if code > len(known) or (code == len(known) and not last):
+            raise ValueError("damaged LZW strip")
+        entry = known[code] if code < len(known) else last + last[:1]
+        out += entry
+        if last:
+            known.append(last + entry[:1])
+        last = entry
+        width = min(12, max(9, (len(known) + 1).bit_length()))
+    return bytes(out)
+
+
+#: How strips are unpacked, by the number of their compression.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
+def _restored(body: bytes, kind: np.dtype, height: int, width: int, predictor: int) -> np.ndarray:
+    """Pixels of a page whose predictor is 1 (none), 2 (differences along a row) or 3 (those of a float's byte planes)."""
+    if predictor == 3:
+        planes = np.cumsum(np.frombuffer(body, np.uint8, height * width * kind.itemsize).reshape(height, -1), axis=1, dtype=np.uint8)
+        high_first = planes.reshape(height, kind.itemsize, width).swapaxes(1, 2)
+        return np.ascontiguousarray(high_first).view(kind.newbyteorder(">"))[:, :, 0].astype(kind.newbyteorder("="))
+    a = np.frombuffer(body, kind, height * width).reshape(height, width).astype(kind.newbyteorder("="))
+    return np.cumsum(a, axis=1, dtype=a.dtype) if predictor == 2 else a
+
+
 def read(data: bytes) -> Iterable[np.ndarray]:
     """The pages, one after another, so a caller needn't hold them all."""
     for order, t in _pages(data):
         one = lambda tag, default: t.get(tag, (default,))[0]
-        how = one(COMPRESSION, 1)
-        if how not in (1, 8, 32946) or one(SAMPLES, 1) != 1 or one(PREDICTOR, 1) != 1:
-            raise ValueError(f"TIFF page not supported: compression {how}, {one(SAMPLES, 1)} samples, predictor {one(PREDICTOR, 1)}")
-        body = b"".join(data[a : a + n] if how == 1 else zlib.decompress(data[a : a + n]) for a, n in zip(t[STRIPS], t[BYTES]))
+        how, predictor, samples = one(COMPRESSION, 1), one(PREDICTOR, 1), one(SAMPLES, 1)
+        if how not in UNPACK or samples != 1 or predictor not in (1, 2, 3) or STRIPS not in t:
+            raise ValueError(f"TIFF page not supported: compression {how}, {samples} samples, predictor {predictor}, {'strips' if STRIPS in t else 'no strips'}")
+        body = b"".join(UNPACK[how](data[a : a + n]) for a, n in zip(t[STRIPS], t[BYTES]))
         kind = np.dtype(f"{order}{KINDS[one(FORMAT, 1)]}{one(BITS, 8) // 8}")
-        yield np.frombuffer(body, kind, one(WIDTH, 0) * one(HEIGHT, 0)).reshape(one(HEIGHT, 0), one(WIDTH, 0)).astype(kind.newbyteorder("="))
+        yield _restored(body, kind, one(HEIGHT, 0), one(WIDTH, 0), predictor)
 
 
 def narrowed(a: np.ndarray) -> np.ndarray:

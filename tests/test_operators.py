@@ -85,7 +85,7 @@ def test_constant_volume(spark):
 def test_gaussian_keeps_the_mean_and_sobel_is_flat(spark):
     v = voxels(spark, [[5] * 6] * 6)
     assert all(abs(r.v - 5) < 1e-9 for r in morphology.gaussian_2d(v, 6, 6, 1.0).collect())
-    assert all(r.v == 0 for r in morphology.sobel(v).collect())
+    assert all(r.v == 0 for r in morphology.sobel(v, 6, 6).collect())
 
 
 def test_tracking_skips_growth(spark):
