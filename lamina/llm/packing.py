@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -63,7 +64,9 @@ class Ids(Kept):
 
     def make(self, word: bytes) -> bytes:
         ids = self.merges.ids(word)
-        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids if ids is None else ids, "<u4").tobytes()
+        if ids is None:
+            ids = self.library.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def document(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split())) + b"\0\0\0\0"
