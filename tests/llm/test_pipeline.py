@@ -1,11 +1,15 @@
 """The pipeline on a small folder, and the queries' SQL."""
 
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.llm import mixing, simhash, tokens, toxicity
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
@@ -26,6 +30,65 @@ def test_stages(spark):
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+def test_stages_by_brute_force(spark):
+    """Each stage's rows on its own input against plain Python."""
+    import corpus_pipeline as c
+
+    r = np.random.default_rng(31)
+    vocabulary = [f"word{i}" for i in range(400)] + ["über", "été"]
+    prose = lambda n: " ".join(r.choice(vocabulary, n))
+    passage = prose(60)
+    texts = [prose(int(n)) for n in r.integers(30, 200, 40)] + [f"{prose(40)} {passage} {prose(30)}" for _ in range(6)]
+    texts += [texts[3], texts[3] + " tail", texts[7].upper()]
+    rows = [(int(i), t, "en", f"src{k % 3}", len(t)) for k, (i, t) in enumerate(zip(r.permutation(200), texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+
+    scored = toxicity.score(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = {x.doc_id for x in c.drop_toxic(spark, docs, SF).collect()}
+    assert kept == {x.doc_id for x in scored.collect() if x.predicted == 0}
+
+    prints = {i: simhash.fingerprint(t.encode()) for i, t, *_ in rows}
+    root = {i: i for i in prints}
+    for _ in range(5):
+        for a in root:
+            root[a] = min(root[b] for b in root if (prints[a] ^ prints[b]).bit_count() <= 3)
+    apart = c.drop_near_duplicates(spark, docs, SF).cache()
+    left = {x.doc_id: x.text for x in apart.collect()}
+    assert set(left) == {i for i in root if root[i] == i} and len(left) < len(rows)
+
+    seen, want = set(), {}
+    for i in sorted(left):
+        w = left[i].split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            gone[k : k + 20] = [True] * 20 if tuple(w[k : k + 20]) in seen else gone[k : k + 20]
+            seen.add(tuple(w[k : k + 20]))
+        if not all(gone):
+            want[i] = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else left[i]
+    cleaned = c.drop_repeated_passages(spark, apart, SF).cache()
+    assert {x.doc_id: x.text for x in cleaned.collect()} == want and all(x.n_chars == len(x.text) for x in cleaned.collect())
+
+    taken = {x.doc_id: x for x in mixing.taken_words(cleaned).collect()}
+    mixed = c.mix_sources(spark, cleaned, SF).cache()
+    places = sorted((p, n, i) for i, x in taken.items() for n, p in enumerate(x.positions))
+    assert [x.doc_id for x in mixed.collect()] == [i for _, _, i in places]
+    for source in {x.source for x in taken.values()}:
+        mine = [x for x in taken.values() if x.source == source]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= max(x.size for x in mine)
+
+    library = tokens.load(tokens.tokenizer_path("word_bpe_49k.json"))
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in want.items()}
+    packed = c.pack_sequences(spark, mixed, SF).collect()
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted((x.doc_id, x.start, x.length, x.ids_crc32) for x in packed) == sorted((i, 0, len(ids[i]), crc(ids[i])) for _, _, i in places)
+    sequences = {}
+    for x in packed:
+        sequences.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(sequences) <= -(-sum(x.length for x in packed) // 2048) + 1
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, and columns with the names of the operators' own."""
