@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.kernels import curves, dense
 from lamina.operators.blocks import MASK, Size, per_slab, per_slice
 from lamina.operators.intensity import valley_inputs
+from lamina.operators.lineage import beside
 
 
 def gaussian_3d(voxels: DataFrame, size: Size, sigma: float = 1.0, slab: int = 64) -> DataFrame:
@@ -129,7 +130,7 @@ def valley_threshold(voxels: DataFrame, bins: int = 512, sigma: float = 1.0) ->
     """
     scaled = (F.col("v").cast("double") - F.col("p1")) / (F.col("p99") - F.col("p1") + 1e-6)
     part = F.least(F.lit(bins - 1), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)) * bins)).cast("int")
-    counts = voxels.where("v > 0").join(valley_inputs(voxels), "volume_id").groupBy("volume_id", part.alias("bin")).agg(F.count("*").alias("n"))
+    counts = beside(voxels.where("v > 0"), valley_inputs(voxels), ["volume_id"]).groupBy("volume_id", part.alias("bin")).agg(F.count("*").alias("n"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         h = np.zeros(bins)

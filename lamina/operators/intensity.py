@@ -5,12 +5,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from lamina.operators.lineage import beside
+
 BY = ["volume_id"]
 
 
 def _with_stats(voxels: DataFrame, **stats: Column) -> DataFrame:
-    """voxels beside their volume's statistics: one row a volume, joined back by Spark's choice of join."""
-    return voxels.join(voxels.groupBy(*BY).agg(*[c.alias(k) for k, c in stats.items()]), BY)
+    """voxels beside their volume's statistics."""
+    return beside(voxels, voxels.groupBy(*BY).agg(*[c.alias(k) for k, c in stats.items()]), BY)
 
 
 def volume_info(voxels: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def histogram(voxels: DataFrame, bins: int, by: tuple[str, ...] = ("volume_id",)
     span = voxels.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = voxels.join(span, list(by)).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("cnt"))
+    counts = beside(voxels, span, list(by)).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("cnt"))
     every = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = every.join(counts, [*by, "bin"], "left")
     return full.select(*by, "bin", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("centre"), F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
@@ -61,7 +63,7 @@ def equalize(voxels: DataFrame, bins: int = 256) -> DataFrame:
     at = F.when(width > 0, F.greatest(F.lit(0), F.least(F.floor((v - F.col("lo")) / width - 0.5), F.lit(bins - 1)))).otherwise(F.lit(0)).cast("int")
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("centre")) / (F.col("next") - F.col("centre"))))
     out = F.when(F.col("next").isNull() | (F.col("next") <= F.col("centre")), F.col("c")).otherwise(F.col("c") + (F.col("c1") - F.col("c")) * part)
-    return rows.withColumn("bin", at).join(cdf, [*BY, "bin"]).select(*voxels.drop("v").columns, out.alias("v"))
+    return beside(rows.withColumn("bin", at), cdf, [*BY, "bin"]).select(*voxels.drop("v").columns, out.alias("v"))
 
 
 def background_subtract(voxels: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def binned(voxels: DataFrame, bins: int, by: tuple[str, ...] = ("volume_id",)) -
     v = F.col("v").cast("double")
     span = voxels.groupBy(*by).agg(F.min(v).alias("low"), ((F.max(v) - F.min(v)) / bins).alias("width"))
     level = F.when(F.col("width") > 0, F.least(F.floor((v - F.col("low")) / F.col("width")), F.lit(bins - 1))).otherwise(0)
-    return voxels.join(span, list(by)).withColumn("level", level.cast("int"))
+    return beside(voxels, span, list(by)).withColumn("level", level.cast("int"))
 
 
 def _levels(voxels: DataFrame, by: tuple[str, ...], bins: int) -> DataFrame:

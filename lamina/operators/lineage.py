@@ -3,6 +3,7 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,3 +20,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so what follows reads it and a lost executor costs a read."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that is sent to every executor: a few hundred bytes each.
+SENT_ROWS = 100_000
+
+
+def beside(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with a table that has a few rows a volume.
+
+    The table is written and counted first, and sent to all executors up to
+    SENT_ROWS rows, so the voxels stay where they are; beyond that it is a join
+    by key.
+    """
+    small = cut(small)
+    return rows.join(F.broadcast(small) if small.count() <= SENT_ROWS else small, on)

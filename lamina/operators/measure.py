@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.kernels import shape
+from lamina.operators.lineage import beside
 
 KEY = ["volume_id", "z", "label"]
 VOXEL = ["volume_id", "z", "y", "x"]
@@ -184,6 +185,6 @@ def bounding_box(mask: DataFrame) -> DataFrame:
 
 def crop(voxels: DataFrame, box: DataFrame) -> DataFrame:
     """Voxels within the box, coordinates from its corner."""
-    rows = voxels.join(box, "volume_id")
+    rows = beside(voxels, box, ["volume_id"])
     inside = [(F.col(c) >= F.col(f"{c}min")) & (F.col(c) < F.col(f"{c}max")) for c in "zyx"]
     return rows.where(inside[0] & inside[1] & inside[2]).select("volume_id", *[(F.col(c) - F.col(f"{c}min")).alias(c) for c in "zyx"], "v")
