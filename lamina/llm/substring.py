@@ -300,6 +300,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text", windo
     def seek(batch: pa.Table) -> pa.Table:
         got = list(_seek(batch.column("payload").to_pylist(), batch.column("block").to_pylist()))
         none = np.empty(0, _PLACE)
+        trim()
         return pa.Table.from_batches(got or [_factors(none, _NONE, none, np.empty(0, np.int64))])
 
     taken = _keyed(docs, id_column, text).select("__named", "__id", "__tag", F.col(text).alias("text"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import checkpoint, held, held_out, table, training_row
+from lamina.llm.common import checkpoint, held, held_out, table, training_row, trim
 
 SAMPLE = 8_000
 STEMS = 160
@@ -49,7 +49,7 @@ EVIDENCE = 24.0
 REJECT = 0.7
 CACHED = 200_000
 #: Entries that a task's counts of stems hold before they are sent.
-COUNTED = 200_000
+COUNTED = 60_000
 OTHER, END, TARGET, OBJECT, NEGATOR, REPORT, QUOTE, SELF, INTENT, THREAT, STEM = range(11)
 SEED = "idiot moron stupid worthless scum loser pathetic disgusting imbecile".split()
 SEED_WEIGHT = 6.0
@@ -216,6 +216,11 @@ class Grammar:
         return total, n, len(words)
 
 
+def _grammar(stems: dict[str, float], whole: dict[str, float]) -> Grammar:
+    """This worker's machine, with the words that it has met."""
+    return held(("grammar", repr((stems, whole))), lambda: Grammar(stems, whole))
+
+
 def _explain(measures: list[tuple[float, int, int]]) -> np.ndarray:
     """What the logistic function sees of a document."""
     m = np.array(measures, float).reshape(-1, 3)
@@ -236,6 +241,7 @@ def stem_counts(rows: DataFrame) -> DataFrame:
     """feature, and by label the documents with it and its uses, over rows of (text, toxic); the feature '' has the totals."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("no cache", object)
         seen: dict[tuple[str, bool], list[int]] = {}
 
         def sent() -> pa.RecordBatch:
@@ -252,13 +258,15 @@ def stem_counts(rows: DataFrame) -> DataFrame:
                     for size in range(4, min(8, len(w) + 1)):
                         found[w[:size]] += k
                 for f, k in found.items():
-                    held = seen.setdefault((f, toxic == 1), [0, 0])
-                    held[0] += 1
-                    held[1] += k
+                    pair = seen.setdefault((f, toxic == 1), [0, 0])
+                    pair[0] += 1
+                    pair[1] += k
                 if len(seen) > COUNTED:
                     yield sent()
                     seen.clear()
         yield sent()
+        seen.clear()
+        trim()
 
     each = rows.select("text", "toxic").mapInArrow(count, "feature string, bad boolean, docs long, uses long")
     part = lambda c, bad: F.coalesce(F.sum(F.when(F.col("bad") == bad, F.col(c))), F.lit(0)).alias(f"{c}_{'foul' if bad else 'clean'}")
@@ -321,7 +329,7 @@ def train(rows: DataFrame, bound: int) -> tuple[dict[str, float], dict[str, floa
         return stems, whole, np.array([0.0, 2.5, 0.0, 0.0, -2.2])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Grammar(stems, whole)
+        g = _grammar(stems, whole)
         for b in batches:
             total, n, words = zip(*map(g.measure, b.column(0).cast(pa.binary()).to_pylist())) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), pa.array(n, pa.int64()), pa.array(words, pa.int64()), b.column(1).cast(pa.int32()), b.column(2)], ["total", "n", "words", "toxic", "h"])
@@ -340,7 +348,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems, whole, w = model.value
-        g = held(("grammar", repr((stems, whole))), lambda: Grammar(stems, whole))
+        g = _grammar(stems, whole)
         for b in batches:
             x = _explain([g.measure(t) for t in b.column(where).cast(pa.binary()).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
