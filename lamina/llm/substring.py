@@ -25,7 +25,7 @@ Scale.  A block sends a phrase once, from its first place; further places have
 their source in the block already and travel as runs of whole factors.  So a
 phrase that a third of the corpus shares is one entry a block.  Neighbouring
 phrases share an anchor (the least hash of their 8-word grams) and travel as
-one run, about 12 bytes a phrase.  The number of partitions of the index
+one run, about 11 bytes a phrase.  The number of partitions of the index
 follows the bytes of text (``BUCKET`` each).  Only factors come back; the text
 is joined to them once.
 
@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import held, partitions, table, trim
-from lamina.llm.words import grams, inside, mix, tables
+from lamina.llm.words import expanded, grams, inside, mix, squeezed, tables
 
 WINDOW = 20
 GRAM = 8
@@ -204,20 +204,25 @@ def _index(docs, doc, pos, anchor, hashed, buckets: int) -> Iterator[dict]:
         n = length[run]
         at = first[np.repeat(begin[run], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         start = place[first[begin[run]]]
+        small = squeezed(start["id"].astype("<u8"), start["pos"], n | (start["named"] << 7))
         parts = [
-            start["id"], start["tag"], start["pos"], (n | (start["named"] << 7)).astype("u1"), anchor[first[begin[run]]].astype("<u8"), hashed[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES],
+            start["tag"], anchor[first[begin[run]]].astype("<u8"), hashed[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES],
             place[known[mine]], count[mine].astype("<i4") if len(mine) else _NONE, place[source[known[mine]]],
         ]
-        yield {"bucket": b, "payload": np.array([len(run), len(at), len(mine)], "<i8").tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in parts)}
+        head = np.array([len(run), len(at), len(mine), len(small)], "<i8").tobytes()
+        yield {"bucket": b, "payload": head + small + b"".join(np.ascontiguousarray(x).tobytes() for x in parts)}
 
 
 def _unpack(payload: bytes) -> list[np.ndarray]:
-    runs, windows, own = np.frombuffer(payload, "<i8", 3)
-    out, at = [], 24
-    for kind, n in (("<i8", runs), ("<i8", runs), ("<u4", runs), ("u1", runs), ("<u8", runs), (_HASH, windows), (_PLACE, own), ("<i4", own), (_PLACE, own)):
+    """ids, tags, positions, packed lengths, anchors and hashes of runs, and places, counts and sources of what is known."""
+    runs, windows, own, size = np.frombuffer(payload, "<i8", 4)
+    out, at = [], 32 + int(size)
+    for kind, n in (("<i8", runs), ("<u8", runs), (_HASH, windows), (_PLACE, own), ("<i4", own), (_PLACE, own)):
         out.append(np.frombuffer(payload, kind, n, at))
         at += out[-1].nbytes
-    return out
+    tags, anchor, hashed, place, count, source = out
+    ids, pos, packed = expanded(payload[32 : 32 + int(size)], 3)
+    return [ids, tags, pos, packed, anchor, hashed, place, count, source]
 
 
 def _longest(place: np.ndarray, count: np.ndarray) -> np.ndarray:

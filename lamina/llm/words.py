@@ -154,3 +154,16 @@ def tables(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int
     for a, b in steps(offsets, limit):
         low = offsets[a]
         yield a, b, cut(data[low : offsets[b]], offsets[a : b + 1] - low)
+
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0 on, byte plane by byte plane and compressed, after their length."""
+    planes = b"".join(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True) if planes else bytes(8)
+
+
+def expanded(payload: bytes, columns: int) -> np.ndarray:
+    """(columns, n) of what squeezed was given."""
+    n = int.from_bytes(payload[:8], "little")
+    planes = pa.decompress(payload[8:], 8 * n * columns, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(columns, 8, n).swapaxes(1, 2)).view("<i8")[:, :, 0]
