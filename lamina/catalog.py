@@ -395,6 +395,47 @@ def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("tiff_roundtrip", tiff_roundtrip, "SELECT volume_id, z, y, x, v::DOUBLE AS v FROM vox")
+# Jaw workflows: what the steps above give, put together.
+CENTRES = "rg AS (SELECT volume_id, z, label, avg(y) AS cy, avg(x) AS cx, count(*) AS area FROM l5 GROUP BY ALL)"
+NEAREST = "QUALIFY row_number() OVER (ORDER BY (r.cy - t.cy) * (r.cy - t.cy) + (r.cx - t.cx) * (r.cx - t.cx)) = 1"
+
+
+def _followed(growth: str) -> str:
+    """fw: pixels of the region followed from the last slice down, among the edge-connected parts of lab."""
+    return f"""{_labels('l5', 'lab', FOUR)}, {CENTRES}, tr AS ((SELECT volume_id, z, label, cy, cx, area FROM rg WHERE z = 6 ORDER BY cx, cy LIMIT 1)
+      UNION ALL (SELECT t.volume_id, r.z, r.label, r.cy, r.cx, r.area FROM tr t JOIN rg r ON r.z = t.z - 1 {growth} {NEAREST})), fw AS (SELECT volume_id, z, y, x FROM l5 SEMI JOIN tr USING (volume_id, z, label))"""
+
+
+def _solid(name: str, source: str) -> str:
+    """Face-connected 3-D labels k (the least raster key) of a mask, as name, and their sizes, as name_n."""
+    return f"""{name}_r AS (SELECT volume_id, z, y, x, z * 1024 + y * 32 + x AS k FROM {source}
+      UNION SELECT b.volume_id, b.z, b.y, b.x, a.k FROM {name}_r a JOIN {source} b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
+      {name} AS (SELECT volume_id, z, y, x, min(k) AS k FROM {name}_r GROUP BY ALL), {name}_n AS (SELECT k, count(*) AS n FROM {name} GROUP BY k)"""
+
+
+def _closed(name: str, source: str) -> str:
+    return f"{_dilated_3d(name + '_d', source)}, {_eroded_3d(name, name + '_d', True)}"
+
+
+FLOAT_AT = "SELECT volume_id, z, arg_max(v, (round(COALESCE(n0 * (n - n0) * (s0 / n0 - (s - s0) / NULLIF(n - n0, 0)) * (s0 / n0 - (s - s0) / NULLIF(n - n0, 0)), 0), 6), -k)) AS t FROM ps GROUP BY ALL"
+LARGEST = "SELECT volume_id, z, y, x FROM sd WHERE k = (SELECT arg_max(k, (n, -k)) FROM sd_n)"
+voxel_query("incisor", lambda d: dental.segment_incisor(d, FULL, 3, 50), LARGEST, f"{OTSU}, ot AS ({AT}), fo AS (SELECT volume_id, z, y, x FROM vox JOIN ot USING (volume_id, z) WHERE v > t), {_cleaned('fo', 50)}, {_followed('AND r.area <= 2 * t.area')}, {_closed('sh', 'fw')}, {_solid('sd', 'sh')}")
+SMOOTHED = f"{_gauss('w1', 1.0)}, {_blurred('sm', 'vox', 'w1', ALONG)}, {_float_levels(256, 'volume_id, z', 'sm')}, ot AS ({FLOAT_AT}), fo AS (SELECT sm.volume_id, sm.z, y, x FROM sm JOIN ot USING (volume_id, z) WHERE sm.v > t)"
+voxel_query("jaw_bone", lambda d: dental.segment_bone(d, FULL, 1.0, 50, 3), LARGEST, f"{SMOOTHED}, {_cleaned('fo', 50)}, {_followed('')}, {_closed('sh', 'fw')}, {_solid('sd', 'sh')}")
+
+
+def molar_bone(voxels: DataFrame) -> DataFrame:
+    bone, molars = dental.segment_molar_bone(voxels, FULL, 3)
+    return bone.withColumn("part", F.lit("bone")).unionByName(molars.withColumn("part", F.lit("molars")))
+
+
+#: A second disc that is large enough to be a tooth.
+JAW = "CASE WHEN (x - 8) * (x - 8) + (y - 8 - z) * (y - 8 - z) <= 45 THEN 150 ELSE v END"
+voxel_query("molar_bone", lambda d: molar_bone(d.withColumn("v", F.expr(JAW))), """SELECT volume_id, z, y, x, CASE WHEN rk = 1 THEN 'bone' ELSE 'molars' END AS part FROM sd JOIN rk USING (k) WHERE rk = 1 OR n >= 0.5 * (SELECT max(n) FROM rk WHERE rk > 1)""",
+  f"jv AS (SELECT volume_id, z, y, x, {JAW} AS v FROM vox), {SMOOTHED.replace('vox', 'jv')}, {_cleaned('fo', 100)}, ms AS (SELECT volume_id, z, y, x FROM lab), {_closed('sh', 'ms')}, {_solid('sd', 'sh')}, rk AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS rk FROM sd_n)")
+voxel_query("bone_intensity", lambda d: dental.bone_intensity(d, FULL, 2, 1.0, 20), """SELECT volume_id, round(min(m), 6) AS bone FROM (SELECT sm.volume_id, sm.z, avg(sm.v) AS m FROM sm JOIN lab USING (volume_id, z, y, x) SEMI JOIN lg ON lg.z = sm.z AND lg.label = lab.label GROUP BY sm.volume_id, sm.z) GROUP BY 1""",
+  f"""{_gauss('w1', 1.0)}, md AS (SELECT volume_id, z - 1 AS z, y, x, v FROM vox WHERE z BETWEEN 1 AND 4), {_blurred('sm', 'md', 'w1', ALONG | {'z': 4})}, {_float_levels(256, 'volume_id, z', 'sm')}, ot AS ({FLOAT_AT}),
+  fo AS (SELECT sm.volume_id, sm.z, y, x FROM sm JOIN ot USING (volume_id, z) WHERE sm.v > t), {_cleaned('fo', 20)}, lg AS (SELECT z, arg_max(label, (n, -label)) AS label FROM (SELECT z, label, count(*) AS n FROM lab GROUP BY ALL) GROUP BY z)""")
 # Sequential algorithms: hand-made goldens in the tests stand for SQL.
 voxel_query("watershed", lambda d: G.segment(d, *SIZE, "watershed", 20, min_distance=4), "")
 voxel_query("clahe", lambda d: N.clahe(d, *SIZE), "")
@@ -402,4 +443,3 @@ voxel_query("enhance_edges", lambda d: N.enhance_edges(d, FULL, 1.0, True, 3), "
 voxel_query("skeleton", lambda d: N.skeleton(foreground(d)), "")
 voxel_query("curved_reslice", lambda d: R.cmpr(d.where("v BETWEEN 120 AND 159"), FULL, 9, 1.0, 1.0, 3)["volume"], "")
 voxel_query("centerline_mask", lambda d: R.cmpr(d.where("v BETWEEN 120 AND 159"), FULL, 9, 1.0, 1.0, 3)["centerline_mask"], "")
-voxel_query("incisor", lambda d: dental.segment_incisor(d, FULL, 3, 50), "")
