@@ -14,4 +14,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op4_licenses": licenses.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op2_rlz": substring.ORACLE_SQL, "op4_licenses": licenses.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}

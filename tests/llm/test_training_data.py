@@ -1,10 +1,12 @@
 """The ten operators against brute force, on small tables with every odd case."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from lamina.llm import language, licenses, mixing, neighbours, packing, quality, simhash, substring, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = np.random.default_rng(4)
 VOCAB = ["the", "of", "Äpfel", "über", "été", "naïve", "can't", "x1", "foo-bar", "end.", "日本語", "a", "**", "é"]
@@ -128,6 +131,30 @@ def test_lempel_ziv_factors(collides, monkeypatch):
             assert got == want
 
 
+def test_repeated_rows_of_a_block_send_once():
+    """A block of rows that repeat a document sends what its first row sends, also where a repeat comes in a later call."""
+    row = (True, 3, 9, f"{PASSAGE} {prose(40, 5)} {PASSAGE}")
+
+    def sent(calls):
+        block, size = substring._Block(5, 20), 0
+        for n in calls:
+            rows = np.array([(*row[:3], 0)] * n, substring._PLACE)
+            size += sum(len(r["payload"]) for r in block.add(rows, pa.array([row[3]] * n)))
+        return size + sum(len(r["payload"]) for r in block.flush())
+
+    assert sent([1]) == sent([200]) == sent([70, 30])
+
+
+def test_substring_sql(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("needs the driver's tables")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = sorted(map(tuple, substring.op2_rlz(spark, SF).collect()))
+    want = db.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({substring.ORACLE_SQL}) ORDER BY doc_id").fetchall()
+    assert got == want and any(r[2] for r in got)
+
+
 def test_factors_of_a_table(docs):
     by_id = {i: words(t) for i, t, *_ in ROWS}
     got = substring.factors(docs).collect()
