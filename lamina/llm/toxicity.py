@@ -38,10 +38,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import checkpoint, held, held_out, table, training_row, trim
+from lamina.llm.words import grams, inside, tables
 
 SAMPLE = 8_000
 STEMS = 160
@@ -319,7 +321,30 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     if n > bound:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    return checkpoint(rows.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")))
+    return checkpoint(without_copies(rows.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))))
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Of the rows (text, toxic, h) with one label that share their least hash of three words, the one of the least h.
+
+    Copies are no evidence of their own: the rare words of a toxic text that was
+    copied often would pass for stems.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(2).to_numpy().copy()
+            for at, _, words in tables(pc.ascii_lower(b.column(0))):
+                three = grams(words.hashes(), 3)[inside(words.first, 3, len(words.start))] if len(words.start) >= 3 else np.empty(0, np.uint64)
+                n = np.maximum(words.counts - 2, 0)
+                some = np.flatnonzero(n)
+                if len(some):
+                    key[at + some] = np.minimum.reduceat(three, (np.cumsum(n) - n)[some]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], ["text", "toxic", "h", "key"])
+
+    kind = rows.schema["toxic"].dataType.simpleString()
+    keyed = rows.mapInArrow(marked, f"text string, toxic {kind}, h long, key long")
+    return keyed.groupBy("toxic", "key").agg(F.min(F.struct("h", "text")).alias("r")).select("r.text", "toxic", "r.h")
 
 
 def train(rows: DataFrame, bound: int) -> tuple[dict[str, float], dict[str, float], np.ndarray]:

@@ -557,6 +557,16 @@ def brute_weight(g, text):
     return total
 
 
+def test_copies_are_no_evidence(spark):
+    """Near copies with one label are one row to learn from; texts that share few words, and other labels, stay."""
+    base = prose(300, 21)
+    near = [f"{base} {prose(3, 30 + i)}" for i in range(40)]
+    rows = [(t, 1, i) for i, t in enumerate(near)] + [(near[0], 0, 90), (prose(300, 77), 1, 91), (None, 1, 92), ("", 1, 93), ("two words", 1, 94)]
+    got = toxicity.without_copies(spark.createDataFrame(rows, "text string, toxic int, h long").repartition(3)).collect()
+    assert sorted(r.h for r in got) == [0, 90, 91, 92, 93, 94]
+    assert {r.h: r.text for r in got} == {h: t for t, _, h in rows if h in (0, 90, 91, 92, 93, 94)}
+
+
 def test_grammar_by_rules():
     g = toxicity.Grammar({"stup": 3.0}, {"clown": 5.0})
     r = np.random.default_rng(12)
