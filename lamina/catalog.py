@@ -281,8 +281,9 @@ ALONG = {"z": DEPTH, "y": HEIGHT, "x": WIDTH}
 FLAT = {"y": HEIGHT, "x": WIDTH}
 voxel_query("difference_of_gaussians", lambda d: N.difference_of_gaussians(d, FULL, 1.0, 2.0, 3), "SELECT volume_id, z, y, x, round(a.v - b.v, 6) AS v FROM lo a JOIN hi b USING (volume_id, z, y, x)",
   f"{_gauss('w1', 1.0)}, {_gauss('w2', 2.0)}, {_blurred('lo', 'vox', 'w1', ALONG)}, {_blurred('hi', 'vox', 'w2', ALONG)}")
-voxel_query("edges_plain", lambda d: N.enhance_edges(d, FULL, 1.0, False, 3), "SELECT volume_id, z, y, x, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) AS v FROM gr WINDOW w AS (PARTITION BY volume_id, z)",
-  f"{_gauss('w1', 1.0)}, {_blurred('sm', 'vox', 'w1', ALONG)}, {EDGE}, gr AS (SELECT a.volume_id, a.z, a.y, a.x, {GRADIENT} AS v FROM sm a, sb JOIN sm b ON {CLAMP} GROUP BY ALL)")
+SPREAD = "SELECT volume_id, z, y, x, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) AS v FROM {} WINDOW w AS (PARTITION BY volume_id, z)"
+EDGES = f"{_gauss('w1', 1.0)}, {_blurred('sm', 'vox', 'w1', ALONG)}, {EDGE}, gr AS (SELECT a.volume_id, a.z, a.y, a.x, {GRADIENT} AS v FROM sm a, sb JOIN sm b ON {CLAMP} GROUP BY ALL)"
+voxel_query("edges_plain", lambda d: N.enhance_edges(d, FULL, 1.0, False, 3), SPREAD.format("gr"), EDGES)
 voxel_query("gaussian_nearest", lambda d: N.gaussian_slice(d, *SIZE, 1.0), "SELECT a.volume_id, a.z, a.y, a.x, round(sum(b.v * w), 6) AS v FROM g1 a, w1 JOIN g1 b ON b.z = a.z AND b.y = a.y AND b.x = greatest(0, least(31, a.x + d)) GROUP BY ALL",
   f"{_gauss('w1', 1.0)}, g1 AS (SELECT a.volume_id, a.z, a.y, a.x, sum(b.v / 255::DOUBLE * w) AS v FROM vox a, w1 JOIN vox b ON b.z = a.z AND b.x = a.x AND b.y = greatest(0, least(31, a.y + d)) GROUP BY ALL)")
 LOCAL = f"{_gauss('wl', 14 / 6)}, {_blurred('mean', 'vox', 'wl', FLAT)}, above AS (SELECT vox.volume_id, vox.z, vox.y, vox.x FROM vox JOIN mean USING (volume_id, z, y, x) WHERE vox.v > mean.v)"
@@ -436,10 +437,25 @@ voxel_query("molar_bone", lambda d: molar_bone(d.withColumn("v", F.expr(JAW))),
 voxel_query("bone_intensity", lambda d: dental.bone_intensity(d, FULL, 2, 1.0, 20), """SELECT volume_id, round(min(m), 6) AS bone FROM (SELECT sm.volume_id, sm.z, avg(sm.v) AS m FROM sm JOIN lab USING (volume_id, z, y, x) SEMI JOIN lg ON lg.z = sm.z AND lg.label = lab.label GROUP BY sm.volume_id, sm.z) GROUP BY 1""",
   f"""{_gauss('w1', 1.0)}, md AS (SELECT volume_id, z - 1 AS z, y, x, v FROM vox WHERE z BETWEEN 1 AND 4), {_blurred('sm', 'md', 'w1', ALONG | {'z': 4})}, {_float_levels(256, 'volume_id, z', 'sm')}, ot AS ({FLOAT_AT}),
   fo AS (SELECT sm.volume_id, sm.z, y, x FROM sm JOIN ot USING (volume_id, z) WHERE sm.v > t), {_cleaned('fo', 20)}, lg AS (SELECT z, arg_max(label, (n, -label)) AS label FROM (SELECT z, label, count(*) AS n FROM lab GROUP BY ALL) GROUP BY z)""")
+def _tiled(source: str) -> str:
+    """Clipped histograms of 8 x 8 tiles of 4 x 4 pixels (a bin keeps one), their curves, and what pixels read of the four nearest, as co."""
+    slice_ = "volume_id, z"
+    near = lambda c: f"greatest(0, least(7, ({c} + 0.5::DOUBLE) / 4 - 0.5::DOUBLE))"
+    part = lambda k, c: f"CASE WHEN {k} = 0 THEN 1 - (p{c} - {c}0) ELSE p{c} - {c}0 END"
+    return f"""cb AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM {source} WINDOW w AS (PARTITION BY {slice_})),
+    cg AS (SELECT {slice_}, y, x, y // 4 AS ty, x // 4 AS tx, least(floor((v - lo)::DOUBLE / (hi - lo)::DOUBLE * 256), 255)::INT AS g FROM cb),
+    ch AS (SELECT {slice_}, ty, tx, g, count(*) AS n FROM cg GROUP BY ALL), ce AS (SELECT {slice_}, ty, tx, sum(n - 1)::DOUBLE / 256 AS spread FROM ch GROUP BY ALL),
+    cl AS (SELECT {slice_}, ty, tx, p.g, spread, count(ch.n) OVER (PARTITION BY {slice_}, ty, tx ORDER BY p.g) AS below FROM ce CROSS JOIN range(256) p(g) LEFT JOIN ch USING ({slice_}, ty, tx, g)),
+    cc AS (SELECT {slice_}, ty, tx, g, (below + spread * (g + 1)) / 16 AS c FROM cl),
+    ct AS (SELECT *, least(floor(py), 6)::INT AS y0, least(floor(px), 6)::INT AS x0 FROM (SELECT *, {near('y')} AS py, {near('x')} AS px FROM cg)),
+    co AS (SELECT t.volume_id, t.z, t.y, t.x, sum(({part('a', 'y')}) * ({part('b', 'x')}) * c) AS v FROM ct t CROSS JOIN range(2) i(a) CROSS JOIN range(2) j(b)
+      JOIN cc ON cc.volume_id = t.volume_id AND cc.z = t.z AND cc.ty = y0 + a AND cc.tx = x0 + b AND cc.g = t.g GROUP BY ALL)"""
+
+
+voxel_query("clahe", lambda d: N.clahe(d, *SIZE), SPREAD.format("co"), _tiled("vox"))
+voxel_query("enhance_edges", lambda d: N.enhance_edges(d, FULL, 1.0, True, 3), SPREAD.format("co"), f"{EDGES}, {_tiled('gr')}")
 # Sequential algorithms: hand-made goldens in the tests stand for SQL.
 voxel_query("watershed", lambda d: G.segment(d, *SIZE, "watershed", 20, min_distance=4), "")
-voxel_query("clahe", lambda d: N.clahe(d, *SIZE), "")
-voxel_query("enhance_edges", lambda d: N.enhance_edges(d, FULL, 1.0, True, 3), "")
 voxel_query("skeleton", lambda d: N.skeleton(foreground(d)), "")
 voxel_query("curved_reslice", lambda d: R.cmpr(d.where("v BETWEEN 120 AND 159"), FULL, 9, 1.0, 1.0, 3)["volume"], "")
 voxel_query("centerline_mask", lambda d: R.cmpr(d.where("v BETWEEN 120 AND 159"), FULL, 9, 1.0, 1.0, 3)["centerline_mask"], "")
