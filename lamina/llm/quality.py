@@ -11,11 +11,12 @@ features are hashed to grows with the corpus: one for each ``CELL_BYTES`` of
 text, at most ``2 ** MOST_BITS`` of them, as their weights are broadcast (4
 bytes each).  Map tasks send the cells that they met, compressed, in ``SLICES`` groups by
 cell; a group is added up batch by batch into its share of the table.  The
-target is a bounded sample (``TARGET`` rows, by the hash of doc_id) of the
-labelled rows of good quality; the threshold is the value that best separates
-other labelled rows (``LABELLED``), good from bad, and is ``THRESHOLD`` where
-labels are one-sided.  Of those rows only counts and scores come to the
-driver, never a text.
+target is every row labelled good that a model may learn from: a hashed semi
+join finds their texts, which are shuffled once and counted like the raw ones.
+The threshold is the value that best separates all other labelled rows, good
+from bad, and is ``THRESHOLD`` where labels are one-sided.  Every row is scored
+once; the scores are written, and running counts over them find the threshold,
+so that only its few figures come to the driver, never a score or a text.
 
 Defined results: null or blank text has zero counts, fails the base rule and
 isn't kept; a text without features scores 0; repeated rows are rows of their
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lamina.llm.common import checkpoint, table, training_row
@@ -38,12 +39,12 @@ from lamina.llm.words import Words, cut, expanded, grams, inside, mix, runs_of,
 CELL_BYTES = 256
 LEAST_BITS, MOST_BITS = 16, 24
 SLICES = 64
-TARGET = 8_000
-#: Labelled rows, good or bad, whose texts fit the threshold.
-LABELLED = 3_000
 THRESHOLD = -0.25
+#: Running counts start anew after this width of scores.
+WIDTH = 1 / 4096
 #: Pseudo-counts that each feature has in both multinomials.
 SUPPORT = 20.0
+SLACK = 0.03
 MIN_WORDS = 20
 MAX_REPEAT = 30
 WINDOW = 8
@@ -130,13 +131,12 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _ids(labels: DataFrame, want: F.Column, bound: int) -> np.ndarray:
-    """At most bound ids that want holds for, the smallest by hash."""
-    rows = labels.where(want).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    n = rows.count()
-    if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    return np.sort(np.array([r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()], np.int64))
+def target_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text of every row labelled good that a model may learn from."""
+    learn = training_row("__id")
+    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("__id")).where(learn).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where(learn)
+    return rows.join(ids.hint("shuffle_hash"), "__id", "left_semi").select("text")
 
 
 class _Cells:
@@ -150,7 +150,8 @@ class _Cells:
 
     def add(self, cell: np.ndarray, trusted: np.ndarray) -> None:
         found, where, n = np.unique(cell, return_inverse=True, return_counts=True)
-        self.waiting.append((found, np.stack([n, np.bincount(where[trusted], minlength=len(found))], 1)))
+        target = np.bincount(where[trusted], minlength=len(found))
+        self.waiting.append((found, np.stack([n - target, target], 1)))
         self.held += len(found)
         if self.held > 1 << 20:
             self.settle()
@@ -165,15 +166,14 @@ class _Cells:
             self.waiting, self.held = [], 0
 
 
-def multinomials(docs: DataFrame, target: np.ndarray, bits: int) -> DataFrame:
+def multinomials(docs: DataFrame, target: DataFrame, bits: int) -> DataFrame:
     """slice, raw, target and counts of each group of cells: the totals, and by cell the raw corpus's counts and the target's."""
-    wanted = docs.sparkSession.sparkContext.broadcast(target)
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells()
         for b in batches:
-            trusted = np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), wanted.value) & ~np.asarray(b.column(0).is_null())
+            trusted = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(b.column(1))
             for x, y in steps(offsets):
                 doc, feature = features(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], bits)
@@ -192,7 +192,8 @@ def multinomials(docs: DataFrame, target: np.ndarray, bits: int) -> DataFrame:
         sums = [pa.array([int(x)], pa.int64()) for x in total.sum(1)]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *sums, pa.array([squeezed(*total)], pa.binary())], ["slice", "raw", "target", "counts"])
 
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "slice int, counts binary")
+    both = docs.select(F.lit(False), "text").unionAll(target.select(F.lit(True), "text"))
+    parts = both.mapInArrow(count, "slice int, counts binary")
     return checkpoint(parts.groupBy("slice").applyInArrow(add, "slice int, raw long, target long, counts binary"))
 
 
@@ -211,17 +212,22 @@ def weights(counts: np.ndarray, share: float, support: float = SUPPORT) -> np.nd
     return np.log((counts[1] + support) / (counts[0] * share + support))
 
 
+def _loss(good, bad, n_good: int, n_bad: int):
+    """Loss of a cut above that many good and bad rows, as arrays or columns; a mistake on a good row counts five times."""
+    return 5 * good / n_good + 1 - bad / n_bad
+
+
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The middle of the gap that separates best; a mistake on a good row counts five times.
+    """The middle of the gap that separates best.
 
-    All cuts within 0.03 of the least loss count as best; the middle of their range is taken.
+    All cuts within ``SLACK`` of the least loss count as best; the middle of their range is taken.
     """
     if not len(good) or not len(bad):
         return THRESHOLD
     cuts = np.unique(np.concatenate([good, bad]))
     middle = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2])
-    loss = 5 * np.searchsorted(np.sort(good), middle) / len(good) + 1 - np.searchsorted(np.sort(bad), middle) / len(bad)
-    best = np.flatnonzero(loss <= loss.min() + 0.03)
+    loss = _loss(np.searchsorted(np.sort(good), middle), np.searchsorted(np.sort(bad), middle), len(good), len(bad))
+    best = np.flatnonzero(loss <= loss.min() + SLACK)
     return float((middle[best[0]] + middle[best[-1]]) / 2)
 
 
@@ -229,40 +235,58 @@ def _failed(base: dict[str, np.ndarray]) -> np.ndarray:
     return (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT * base["n_words"])
 
 
-def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the base counts, score, base_failed and kept of every row."""
-    spark = docs.sparkSession
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = table_bits(size)
-    counts = multinomials(docs, _ids(labels, good & training_row(), TARGET), bits)
-    sent = spark.sparkContext.broadcast(cell_weights(counts, bits))
+def threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """best_threshold of all labelled rows that no model learned from and that pass the base rule."""
+    marks = (
+        labels.where("quality IN (0, 1)")
+        .select(F.col("doc_id").cast("long").alias("__id"), "quality")
+        .where("__id IS NOT NULL")
+        .where(~training_row("__id"))
+        .groupBy("__id")
+        .agg(*(F.max((F.col("quality") == q).cast("long")).alias(k) for k, q in (("good", 1), ("bad", 0))))
+    )
+    fair = scored.where("NOT base_failed").select(F.col("doc_id").cast("long").alias("__id"), "score")
+    counts = fair.join(marks, "__id").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    cuts = checkpoint(counts.withColumn("part", F.floor(F.col("score") / WIDTH)))
+    parts = cuts.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    n_good, n_bad = parts.agg(F.sum("good"), F.sum("bad")).first()
+    if not n_good or not n_bad:
+        return THRESHOLD
 
-    def fair_scores(want: F.Column) -> np.ndarray:
-        """Scores of labelled rows that pass the base rule, of at most LABELLED // 2 ids (of ids that repeat, LABELLED rows by hash)."""
-        ids = spark.createDataFrame([(int(i),) for i in _ids(labels, want & ~training_row(), LABELLED // 2)], "__id long")
+    def below(name: str, over: WindowSpec) -> Column:
+        return F.coalesce(F.sum(name).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(scores(b.column(0), sent.value)[~_failed(base_counts(b.column(0)))])], ["score"])
+    whole, inner = Window.orderBy("part"), Window.partitionBy("part").orderBy("score")
+    starts = parts.select("part", *(below(k, whole).alias(f"{k}_before") for k in ("good", "bad")))
+    good, bad = (F.col(f"{k}_before") + below(k, inner) for k in ("good", "bad"))
+    losses = cuts.join(starts, "part").select("score", _loss(good, bad, n_good, n_bad).alias("loss"))
+    least = losses.agg(F.min("loss")).first()[0]
+    ends = losses.where(F.col("loss") <= least + SLACK).agg(F.min("score"), F.max("score")).first()
+    before = cuts.agg(*(F.max(F.when(F.col("score") < x, F.col("score"))) for x in ends)).first()
+    first, last = (x - 1 if y is None else (x + y) / 2 for x, y in zip(ends, before))
+    return (first + last) / 2
 
-        rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("text").mapInArrow(run, "score double")
-        return np.array([r[0] for r in rows.orderBy(F.xxhash64("score")).limit(LABELLED).collect()])
 
-    threshold = best_threshold(fair_scores(good), fair_scores(bad))
+def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the base counts, score, base_failed and kept of every row."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = table_bits(size)
+    counts = multinomials(docs, target_texts(docs, labels), bits)
+    sent = docs.sparkSession.sparkContext.broadcast(cell_weights(counts, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base = base_counts(b.column(1))
-            score, failed = scores(b.column(1), sent.value), _failed(base)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *map(pa.array, base.values()), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)],
-                ["doc_id", *base, "base_failed", "kept", "score"],
+                [b.column(0), *map(pa.array, base.values()), pa.array(_failed(base)), pa.array(scores(b.column(1), sent.value))],
+                ["doc_id", *base, "base_failed", "score"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double"
+    scored = checkpoint(docs.select("doc_id", "text").mapInArrow(run, schema))
+    kept = ~F.col("base_failed") & (F.col("score") >= threshold(scored, labels))
+    return scored.select(*scored.columns[:-1], kept.alias("kept"), "score")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -684,6 +684,44 @@ def test_quality_verdict(spark):
     assert all(r.kept == (not r.base_failed and score[i] >= cut) or abs(score[i] - cut) < 1e-5 for i, r in got.items())
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Every good row is the target, every other labelled row fits the threshold, however many there are."""
+    r = np.random.default_rng(11)
+    n = 26_000
+    good = r.random(n) < 0.7
+    lists = np.where(r.random((n, 24)) < np.where(good, 0.35, 0.2)[:, None], r.integers(0, 60, (n, 24)), r.integers(40, 400, (n, 24)))
+    texts = [" ".join(f"w{x}" for x in row) for row in lists.tolist()]
+    ids = [*range(n - 300), *range(200), *[None] * 100]
+    label = {i: int(good[i]) for i in range(n - 300) if i % 9}
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([*label.items(), *list(label.items())[:50], (None, 1), (3, None)], "doc_id long, quality int")
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    bits = quality.table_bits(sum(map(len, texts)))
+    doc, cell = quality.features(*quality.text_buffers(pa.array(texts)), bits)
+    trusted = np.array([label.get(i) == 1 and learn(i) for i in ids])
+    raw, target = (np.bincount(c, minlength=1 << bits) for c in (cell, cell[trusted[doc]]))
+    score = quality.scores(pa.array(texts), quality.weights(np.stack([raw, target]), target.sum() / raw.sum()).astype(np.float32))
+    fair = [np.array([s for i, s in zip(ids, score) if label.get(i) == k and not learn(i)]) for k in (1, 0)]
+    assert trusted.sum() > 8_000 and all(len(x) > 1_500 for x in fair)
+    cut = quality.best_threshold(*fair)
+    got = quality.assess(frame, marks).toPandas().sort_values(["doc_id", "score"])
+    want = sorted(zip(ids, score.tolist()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert not got.base_failed.any() and np.allclose(got.score, [s for _, s in want], atol=1e-6)
+    assert (got.kept == (got.score >= cut)).all() and 0 < got.kept.sum() < n
+    assert abs(quality.threshold(quality.assess(frame, marks), marks) - cut) < 1e-6
+
+
+@pytest.mark.parametrize("bad", [[], [0.1], [-0.4, -0.4, 0.3], [0.9]])
+def test_quality_threshold(spark, bad):
+    """Running counts give the threshold that sorted arrays give, also with ties and one-sided labels."""
+    good = [0.5, 0.1, 0.1, -0.3, 0.7]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = list(zip(held, [(x, 1) for x in good] + [(x, 0) for x in bad]))
+    scored = spark.createDataFrame([(i, False, x) for i, (x, _) in rows] + [(held[-1], True, 0.2)], "doc_id long, base_failed boolean, score double")
+    marks = spark.createDataFrame([(i, q) for i, (_, q) in rows] + [(held[-1], 0)], "doc_id long, quality int")
+    assert quality.threshold(scored, marks) == quality.best_threshold(np.array(good), np.array(bad))
+
+
 def test_quality_cells_grow():
     assert [quality.table_bits(n) for n in (0, 10**6, 10**9, 10**14)] == [16, 16, 22, 24]
 
