@@ -7,11 +7,13 @@ library once per worker and then sits in the worker's cache of bounded size
 (two generations of ``CACHED`` entries).  Both tiers only
 save work: the library's own answer decides every count.
 
-What goes into the first tier is found on a bounded sample of rows (about
-``SAMPLE``, by the hash of id and text): each task that holds some of them
-sends their most frequent pre-tokens, at most ``SUMMARY``, straight to the
-driver.  So no pre-token is shuffled, and a sample that misses a frequent one
-costs a call of the library per worker, never a count.
+What goes into the first tier is counted on all rows: each task writes a
+Misra-Gries summary of its pre-tokens, and the driver merges one after another.
+Whenever a summary is cut to k entries, the count of the next one is taken from
+each, so the tier holds every pre-token that makes up more than one in
+``FREQUENT`` + 1 of the corpus, whatever its size, and exact counts decide where no
+more than ``FREQUENT`` are distinct.  No pre-token is shuffled.  Pre-tokens of
+``LONG`` bytes or more are left to the library.
 
 Cutting.  Byte-level BPE never merges across the library's pre-token pattern,
 and that pattern starts a new pre-token at a single space that a solid
@@ -34,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import held, table
+from lamina.llm.common import checkpoint, held, table
 
 FREQUENT = 1 << 14
-SAMPLE = 2_000
-SUMMARY = 1 << 11
-#: Entries a task's summary holds before its rare half goes.
+LONG = 256
+#: Entries that a summary holds, and bytes of text that it takes in, before it is lessened.
 COUNTED = 1 << 17
+COUNTED_BYTES = 1 << 25
 #: Entries of a generation of a worker's cache; there are two.
 CACHED = 250_000
 LIMIT = 1024
@@ -165,28 +167,43 @@ def _lengths(path: str, packed: tuple[bytes, bytes, bytes]) -> Lengths:
     return held(("lengths", path, hash(packed)), make)
 
 
-def frequent_pieces(docs: DataFrame, text: str = "text", id_column: str = "doc_id", top: int = FREQUENT) -> list[bytes]:
-    """The most frequent pieces of a sample of rows, at most top."""
+def lessened(seen: Counter, keep: int) -> Counter:
+    """At most keep entries, each less by the count of the most frequent one that goes.
+
+    That count is taken from more than keep entries.  So however often summaries
+    are added up and lessened, what an entry lost is at most one in keep + 1 of all
+    that was counted.
+    """
+    if len(seen) <= keep:
+        return seen
+    *first, (_, least) = seen.most_common(keep + 1)
+    return Counter({k: n - least for k, n in first if n > least})
+
+
+def frequent_pieces(docs: DataFrame, text: str = "text", top: int = FREQUENT) -> list[bytes]:
+    """The most frequent pieces of all rows, at most top; each that makes up more than one in top + 1 is among them."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        size = 0
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 seen.update(pieces(t or b"") or ())
-                if len(seen) > COUNTED:
-                    seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        got = [(k, n) for k, n in seen.most_common(SUMMARY) if len(k) < 256]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], ["piece", "n"])
-
-    n = docs.count()
-    if not n:
-        return []
-    part = F.pmod(F.xxhash64(id_column, text), F.lit(1 << 30)) < min(1 << 30, (1 << 30) * SAMPLE // n + 1)
-    rows = docs.where(part).select(text).mapInArrow(summary, "piece binary, n long")
+                size += len(t or b"")
+                if len(seen) > COUNTED or size > COUNTED_BYTES:
+                    seen, size = lessened(short(seen), max(top, COUNTED // 2)), 0
+        seen = lessened(short(seen), top)
+        yield pa.RecordBatch.from_arrays([pa.array([[*seen]], pa.list_(pa.binary())), pa.array([[*seen.values()]], pa.list_(pa.int64()))], ["pieces", "counts"])
+
+    def short(seen: Counter) -> Counter:
+        return Counter({k: n for k, n in seen.items() if len(k) < LONG})
+
     total: Counter = Counter()
-    for r in rows.toLocalIterator():
-        total[bytes(r[0])] += r[1]
-    return [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top]]
+    for r in checkpoint(docs.select(text).mapInArrow(summary, "pieces array<binary>, counts array<long>")).toLocalIterator(True):
+        total.update(dict(zip(map(bytes, r[0]), r[1])))
+        if len(total) > COUNTED:
+            total = lessened(total, max(top, COUNTED // 2))
+    return [k for k, _ in sorted(lessened(total, top).items(), key=lambda x: (-x[1], x[0]))]
 
 
 def pack(path: str, found: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -198,7 +215,7 @@ def pack(path: str, found: list[bytes]) -> tuple[bytes, bytes, bytes]:
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """id, n_bytes and n_tokens of every row."""
-    first = docs.sparkSession.sparkContext.broadcast(pack(path, frequent_pieces(docs, text, id_column)))
+    first = docs.sparkSession.sparkContext.broadcast(pack(path, frequent_pieces(docs, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(path, first.value)

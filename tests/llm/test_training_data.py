@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -237,6 +238,28 @@ def test_tokens(docs, none):
     assert tokens.token_counts(none, path).count() == 0
 
 
+def test_first_tier_counts_all_rows(spark):
+    """Every row's pieces are counted; where more than the tier holds are distinct, no frequent one is lost."""
+    r = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 12) if x < 10**6) + f" only{i}" for i in range(6_000)] + [None, "", "y" * 300, "odd\x85blank"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    count = Counter(p for t in texts for p in tokens.pieces((t or "").encode()) or () if len(p) < 256)
+    want = [k for k, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
+    assert tokens.frequent_pieces(frame, top=len(want)) == want
+    few = tokens.frequent_pieces(frame, top=40)
+    sure = {k for k, n in count.items() if n * 41 > count.total()}
+    assert len(few) <= 40 and sure <= set(few) and len(sure) >= 5
+
+
+def test_lessened_summaries():
+    r = np.random.default_rng(13)
+    shards = [Counter(r.zipf(1.2, 5_000).tolist()) for _ in range(20)]
+    count, total = sum(shards, Counter()), Counter()
+    for x in shards:
+        total = tokens.lessened(total + tokens.lessened(x, 100), 50)
+    assert len(total) <= 50 and all(0 <= n - total[k] <= count.total() / 51 for k, n in count.items())
+
+
 def test_token_cache_is_bounded():
     few = tokens.Lengths(tokens.tokenizer_path("byte_bpe_50k.json"), {}, cached=3)
     assert few.count(prose(200, 8).encode()) == len(few.library.encode(prose(200, 8), add_special_tokens=False).ids)
